@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import lines, mixing, warc
+from emberlog.llm import bpe, lines, media, mixing, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -15,6 +15,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, size=F.col("chars"), block_size=65536, slots=1000).drop("chars")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_rows(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.read_tokens(tokenbin.write_tokens(table(spark, sf_dir, "documents"), word_bpe(), 49408, 1))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     clean = F.coalesce(F.col("text"), F.lit(""))
@@ -27,5 +45,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse_records(warc.read_records(spark, at)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op5_line_dedup": op5_line_dedup, "op8_warc": op8_warc}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
+    "op8_warc": op8_warc, "op9_token_binary": op9_token_binary,
+}
 SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL}
