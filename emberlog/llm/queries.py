@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, lines, media, mixing, tokenbin, warc
+from emberlog.llm import bpe, lines, media, mixing, quality, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -29,6 +29,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model).select("doc_id", "_quality.*")
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(tokenbin.write_tokens(table(spark, sf_dir, "documents"), word_bpe(), 49408, 1))
 
@@ -47,6 +53,6 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
-    "op8_warc": op8_warc, "op9_token_binary": op9_token_binary,
+    "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary,
 }
 SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL}
