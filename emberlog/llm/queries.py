@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, lines, media, mixing, quality, tokenbin, warc
+from emberlog.llm import bpe, lines, media, mixing, neardup, quality, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -52,7 +56,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
+    "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_near_duplicates": op3_near_duplicates,
+    "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
     "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL}
