@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, lines, media, mixing, neardup, quality, tokenbin, warc
+from emberlog.llm import bpe, jaccard, lines, media, mixing, neardup, quality, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -55,9 +55,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse_records(warc.read_records(spark, at)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_near_duplicates": op3_near_duplicates,
     "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
-    "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary,
+    "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary, "op10_jaccard_join": op10_jaccard_join,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL, "op10_jaccard_join": jaccard.SQL}
