@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, jaccard, lines, media, mixing, neardup, quality, tokenbin, warc
+from emberlog.llm import bpe, jaccard, lines, media, mixing, neardup, quality, substring, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_near_duplicates": op3_near_duplicates,
-    "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
+    "op4_substring_dedup": op4_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
     "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary, "op10_jaccard_join": op10_jaccard_join,
 }
 SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL, "op10_jaccard_join": jaccard.SQL}

@@ -24,7 +24,7 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if column.null_count:
         column = pa.array(column.to_pylist(), column.type)
     offsets = np.asarray(column.offsets, np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].view(np.uint64), offsets - offsets[0]
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.uint64), offsets - offsets[0]
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
