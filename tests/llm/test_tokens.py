@@ -12,7 +12,7 @@ from emberlog.llm import bpe, tokenbin
 
 PATH = P.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
-HARD = ["", " ", "a", "Hello, World! don't we'll 123", "a<|endoftext|>B <|startoftext|>", "É é ΣΑΣ İ ß ﬁ", "日本語テキスト 한국어", "x y\tz\r\nq\x1cw\x85v u", "👩‍👩‍👧 ok", "aaaaaaaaaaaaaaaa" * 40, "<|endof", "'S 'Ll it's"]
+HARD = ["", " ", "a", "Hello, World! don't we'll 123", "a<|endoftext|>B <|startoftext|>", "É é ΣΑΣ İ ß ﬁ", "日本語テキスト 한국어", "x y\tz\r\nq\x1cw\x85v u", "👩‍👩‍👧 ok", "aaaaaaaaaaaaaaaa" * 40, "<|endof", "'S 'Ll it's", "É. Σας, ΣΑΣ! İi? Ǆo; e\u0301. don't. ª: ..,, x.y"]
 
 
 @pytest.mark.parametrize("text", HARD)
@@ -21,7 +21,7 @@ def test_encode_and_decode_equal_the_library(text):
     b = bpe.load(PATH)
     assert b.encode(text) == ids
     assert b.decode(ids) == LIB.decode(ids, skip_special_tokens=False)
-    assert tokenbin.library_encoder(PATH)(text) == ids
+    assert tokenbin.library_encoder(PATH)(text).tolist() == ids
 
 
 @settings(max_examples=300, deadline=None, derandomize=True)
@@ -29,7 +29,7 @@ def test_encode_and_decode_equal_the_library(text):
 def test_any_text(text):
     ids = LIB.encode(text, add_special_tokens=False).ids
     assert bpe.load(PATH).encode(text) == ids
-    assert tokenbin.library_encoder(PATH)(text) == ids
+    assert tokenbin.library_encoder(PATH)(text).tolist() == ids
 
 
 def test_memo_stays_bounded():
