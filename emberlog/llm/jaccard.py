@@ -22,8 +22,8 @@ from emberlog.llm.shingles import lists, windows, word_hashes
 
 #: Sampled tokens of a set; splits at the start; splits at most; members of a bucket that is not split further.
 SKETCH, START, DEPTH, SMALL = 64, 3, 6, 64
-#: Sets in a block of the exact comparison.
-BLOCK = 192
+#: Sets in a block of the exact comparison; runs whose buckets are compared first, whatever they hold.
+BLOCK, FIRST = 192, 2
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -67,22 +67,25 @@ def sketches(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
 
 
 def buckets(classes: DataFrame, runs: int) -> DataFrame:
-    """``(run, path, sid)`` of every bucket of two sets or more where splitting ended."""
+    """``(run, path, sid)`` of every bucket of two sets or more where splitting ended.
+
+    A bucket that keeps three quarters of its parent holds sets alike, which further splits would only wear off.
+    """
     def start(r: int):
         places = np.random.default_rng([5, r]).choice(SKETCH, START, replace=False)
         return F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), *[F.col("sig")[int(p)] for p in places]).alias("path"))
 
-    rows = classes.select("sid", F.explode(F.array(*[start(r) for r in range(runs)])).alias("x")).select("sid", "x.run", "x.path")
+    rows = classes.select("sid", F.explode(F.array(*[start(r) for r in range(runs)])).alias("x")).select("sid", "x.run", "x.path", F.lit(None).cast("long").alias("parent"))
     done = []
     for depth in range(START, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
         live = written(rows.join(sizes, "path"), "paths")
-        last = depth == DEPTH
-        done.append(live.where("true" if last else f"m <= {SMALL}").select("run", "path", "sid"))
-        if last:
+        ended = "true" if depth == DEPTH else f"m <= {SMALL} or m > 0.75 * coalesce(parent, 2 * m)"
+        done.append(live.where(ended).select("run", "path", "sid"))
+        if depth == DEPTH:
             break
-        rows = (live.where(f"m > {SMALL}").join(classes.select("sid", "sig"), "sid")
-                .select("sid", "run", F.xxhash64("path", F.element_at("sig", (F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(SKETCH)) + 1).cast("int"))).alias("path")))
+        rows = (live.where(f"not ({ended})").withColumn("parent", F.col("m")).join(classes.select("sid", "sig"), "sid")
+                .select("sid", "run", F.xxhash64("path", F.element_at("sig", (F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(SKETCH)) + 1).cast("int"))).alias("path"), "parent"))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -119,8 +122,26 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
-def verified(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``: the sets of each bucket united over its pairs at the threshold; large buckets in pairs of blocks."""
+def odd_blocks(rows: DataFrame) -> DataFrame:
+    """``rows(path, sid, c)`` dealt to tasks that see every pair of a bucket whose components ``c`` differ.
+
+    A bucket's largest component is cut into blocks, and its other sets, if a block holds them, go to each; then pairs
+    within the component, which is united already, cost nothing. Other buckets are dealt in pairs of blocks.
+    """
+    each = rows.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("c", "n").alias("top"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("m"))
+    j = rows.join(each, "path")
+    k = F.ceil(F.col("m") / BLOCK).cast("int")
+    one = j.where((F.col("odd") <= BLOCK) & (F.col("m") > BLOCK))
+    at = F.when(F.col("c") == F.col("top"), F.array(F.pmod(F.xxhash64("sid"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
+    one = one.withColumn("lo", F.explode(at))
+    shared = F.struct(F.lit(None).cast("long").alias("bundle"), F.col("path").alias("component"), F.col("lo"), F.lit(-1).alias("hi"))
+    one = one.select(shared.alias("task"), F.col("path").alias("component"), "sid")
+    rest = j.where((F.col("odd") > BLOCK) | (F.col("m") <= BLOCK)).select(F.col("path").alias("component"), "sid")
+    return one.union(block_pairs(rest, "sid", BLOCK).select("task", "component", "sid"))
+
+
+def verified(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: the sets of each task's buckets united over their pairs at the threshold."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, c in g.groupby("component", sort=False):
@@ -132,7 +153,6 @@ def verified(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 out.append(pd.DataFrame({"a": ids[hit], "b": ids[first[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
-    dealt = block_pairs(rows.select(F.col("path").alias("component"), "sid"), "sid", BLOCK)
     wide = dealt.join(sets, "sid").select("task", "component", "sid", "shingles")
     return written(wide.groupBy("task").applyInPandas(run, "a long, b long").distinct(), "pairs")
 
@@ -169,11 +189,12 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, reca
     wanted = found.select("sid").distinct()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("sid"), "left_semi")
     sets = written(sketches(picked, k, True).withColumnRenamed("doc_id", "sid"), "sets")
-    edges = verified(found.where("run < 4"), sets, threshold)
-    part = components(edges)
-    rest = found.where("run >= 4").join(part, F.col("sid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "sid"))
+    early = found.where(F.col("run") < FIRST).select(F.col("path").alias("component"), "sid")
+    part = components(verified(block_pairs(early, "sid", BLOCK).select("task", "component", "sid"), sets, threshold))
+    rest = found.where(F.col("run") >= FIRST).join(part, F.col("sid") == F.col("node"), "left").select("path", "sid", F.coalesce("component", "sid").alias("c"))
     split = rest.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("path")
-    more = verified(found.where("run >= 4").join(split, "path", "left_semi"), sets, threshold)
+    late = written(rest.join(split, "path", "left_semi"), "late")
+    more = verified(odd_blocks(late), sets, threshold)
     comp = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(comp, F.col("sid") == F.col("node"), "left").select("k1", "k2", "n", "sid", "copies", "component")
     if links:
