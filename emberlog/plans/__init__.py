@@ -1,4 +1,5 @@
 """Registered queries of the analytics operators."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from emberlog.plans.queries import QUERIES, SQL, flagship
+
+__all__ = ["QUERIES", "SQL", "flagship"]
