@@ -68,20 +68,23 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def block_pairs(members: DataFrame, node: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, node: str, block: int, *, weight: str | None = None, most: int = 1 << 20, together: int | None = None) -> DataFrame:
     """``members(component, node, ...)`` dealt to tasks that see every pair of a component once.
 
-    A component of m members has k = ceil(m / block) blocks, dealt by the node's hash, and each goes to k pairs of
-    blocks ``(lo, hi)``, so a task holds about two blocks however large the component. Components of one block share
-    tasks of about four blocks.
+    A component of m members has k blocks, dealt by the node's hash: ceil(m / block), or more where the sum of ``weight``
+    would give a block over ``most``. Each member goes to k pairs of blocks ``(lo, hi)``, so a task holds about two
+    blocks however large the component. Components of one block share tasks of about ``together`` members.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    bundles = max(1, members.count() // (4 * block))
-    m = members.join(sizes, "component").withColumn("k", F.ceil(F.col("m") / block).cast("int"))
+    heavy = F.sum(weight) if weight else F.lit(0).cast("long")
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), heavy.alias("_w"))
+    total = members.agg(F.count("*").alias("m"), heavy.alias("w")).first()
+    bundles = max(1, total["m"] // (together or 4 * block), (total["w"] or 0) // most)
+    k = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("_w") / most), F.lit(1)).cast("int")
+    m = members.join(sizes, "component").withColumn("k", F.least(k, F.col("m").cast("int")))
     m = m.withColumn("blk", F.pmod(F.xxhash64(node), F.col("k")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     m = m.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     none = F.lit(None).cast("long")
     alone = F.struct(F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("bundle"), none.alias("component"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     shared = F.struct(none.alias("bundle"), F.col("component"), F.col("lo"), F.col("hi"))
-    return m.withColumn("task", F.when(F.col("k") == 1, alone).otherwise(shared)).drop("m", "k", "other")
+    return m.withColumn("task", F.when(F.col("k") == 1, alone).otherwise(shared)).drop("m", "_w", "k", "other")

@@ -22,8 +22,8 @@ from emberlog.llm.shingles import lists, windows, word_hashes
 
 #: Sampled tokens of a set; splits at the start; splits at most; members of a bucket that is not split further.
 SKETCH, START, DEPTH, SMALL = 64, 3, 6, 64
-#: Sets in a block of the exact comparison; runs whose buckets are compared first, whatever they hold.
-BLOCK, FIRST = 192, 2
+#: Sets in a block of the exact comparison; shingles in one; sets in a task of small groups; runs whose buckets are compared first, whatever they hold.
+BLOCK, TOKENS, TOGETHER, FIRST = 768, 1 << 20, 768, 2
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -67,7 +67,7 @@ def sketches(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
 
 
 def buckets(classes: DataFrame, runs: int) -> DataFrame:
-    """``(run, path, sid)`` of every bucket of two sets or more where splitting ended.
+    """``(run, path, sid, n)`` of every bucket of two sets or more where splitting ended.
 
     A bucket that keeps three quarters of its parent holds sets alike, which further splits would only wear off.
     """
@@ -75,69 +75,102 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
         places = np.random.default_rng([5, r]).choice(SKETCH, START, replace=False)
         return F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), *[F.col("sig")[int(p)] for p in places]).alias("path"))
 
-    rows = classes.select("sid", F.explode(F.array(*[start(r) for r in range(runs)])).alias("x")).select("sid", "x.run", "x.path", F.lit(None).cast("long").alias("parent"))
+    rows = classes.select("sid", "n", F.explode(F.array(*[start(r) for r in range(runs)])).alias("x")).select("sid", "n", "x.run", "x.path", F.lit(None).cast("long").alias("parent"))
     done = []
     for depth in range(START, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
         live = written(rows.join(sizes, "path"), "paths")
         ended = "true" if depth == DEPTH else f"m <= {SMALL} or m > 0.75 * coalesce(parent, 2 * m)"
-        done.append(live.where(ended).select("run", "path", "sid"))
+        done.append(live.where(ended).select("run", "path", "sid", "n"))
         if depth == DEPTH:
             break
         rows = (live.where(f"not ({ended})").withColumn("parent", F.col("m")).join(classes.select("sid", "sig"), "sid")
-                .select("sid", "run", F.xxhash64("path", F.element_at("sig", (F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(SKETCH)) + 1).cast("int"))).alias("path"), "parent"))
+                .select("sid", "n", "run", F.xxhash64("path", F.element_at("sig", (F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(SKETCH)) + 1).cast("int"))).alias("path"), "parent"))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
     return out
 
 
-def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, by products of 0/1 columns for the tokens that two sets or more hold."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[token] > 1
-    column = (np.cumsum(count > 1) - 1)[token[shared]]
-    row = np.repeat(np.arange(m), sizes)[shared]
-    out = np.zeros((m, m), np.float32)
-    total = int((count > 1).sum())
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, total, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        x = np.zeros((m, min(width, total - at)), np.float32)
-        x[row[a:b], column[a:b] - at] = 1
-        out += x @ x.T
-    inter = out.astype(np.int64)
-    np.fill_diagonal(inter, sizes)
-    return inter
-
-
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    inter = overlaps(sets)
-    n = np.diag(inter)
-    near = inter / (n[:, None] + n[None, :] - inter) >= threshold
-    np.fill_diagonal(near, False)
+def columns(sets: list[np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each of ``tokens`` in the sets, by ascending column."""
+    flat = np.concatenate(sets)
+    row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(tokens, flat)
+    ok = tokens[np.minimum(at, len(tokens) - 1)] == flat
+    row, at = row[ok], at[ok]
+    order = np.argsort(at, kind="stable")
+    return row[order], at[order]
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float, width: int = 4096) -> np.ndarray:
+    """Which of ``a`` are at the threshold with which of ``b``, or with which others of ``a``.
+
+    Intersections are products of 0/1 columns for the tokens that two sets or more hold.
+    """
+    if b is None:
+        tokens, count = np.unique(np.concatenate(a), return_counts=True)
+        tokens = tokens[count > 1]
+    else:
+        tokens = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    other = a if b is None else b
+    inter = np.zeros((len(a), len(other)), np.float32)
+    if len(tokens):
+        ra, ca = columns(a, tokens)
+        rb, cb = (ra, ca) if b is None else columns(b, tokens)
+        for at in range(0, len(tokens), width):
+            x = np.zeros((len(a), min(width, len(tokens) - at)), np.float32)
+            i, j = np.searchsorted(ca, [at, at + width])
+            x[ra[i:j], ca[i:j] - at] = 1
+            y = x
+            if b is not None:
+                y = np.zeros((len(b), x.shape[1]), np.float32)
+                i, j = np.searchsorted(cb, [at, at + width])
+                y[rb[i:j], cb[i:j] - at] = 1
+            inter += x @ y.T
+    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in other])
+    inter = inter.astype(np.int64)
+    near = inter / (na[:, None] + nb[None, :] - inter) >= threshold
+    if b is None:
+        np.fill_diagonal(near, False)
     return near
 
 
 def odd_blocks(rows: DataFrame) -> DataFrame:
-    """``rows(path, sid, c)`` dealt to tasks that see every pair of a bucket whose components ``c`` differ.
+    """``rows(path, sid, n, c)`` dealt to tasks that see every pair of a bucket whose components ``c`` differ.
 
     A bucket's largest component is cut into blocks, and its other sets, if a block holds them, go to each; then pairs
     within the component, which is united already, cost nothing. Other buckets are dealt in pairs of blocks.
     """
-    each = rows.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("c", "n").alias("top"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("m"))
+    each = rows.groupBy("path", "c").agg(F.count("*").alias("s"), F.sum("n").alias("t")).groupBy("path").agg(
+        F.max_by("c", "s").alias("top"), (F.sum("s") - F.max("s")).alias("odd"), (F.sum("t") - F.max_by("t", "s")).alias("odd_t"), F.sum("s").alias("m"), F.sum("t").alias("w"))
     j = rows.join(each, "path")
-    k = F.ceil(F.col("m") / BLOCK).cast("int")
-    one = j.where((F.col("odd") <= BLOCK) & (F.col("m") > BLOCK))
-    at = F.when(F.col("c") == F.col("top"), F.array(F.pmod(F.xxhash64("sid"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
+    k = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / TOKENS)).cast("int")
+    few = (F.col("odd") <= BLOCK) & (F.col("odd_t") <= TOKENS) & (k > 1)
+    one = j.where(few)
+    main = F.col("c") == F.col("top")
+    at = F.when(main, F.array(F.pmod(F.xxhash64("sid"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
     one = one.withColumn("lo", F.explode(at))
     shared = F.struct(F.lit(None).cast("long").alias("bundle"), F.col("path").alias("component"), F.col("lo"), F.lit(-1).alias("hi"))
-    one = one.select(shared.alias("task"), F.col("path").alias("component"), "sid")
-    rest = j.where((F.col("odd") > BLOCK) | (F.col("m") <= BLOCK)).select(F.col("path").alias("component"), "sid")
-    return one.union(block_pairs(rest, "sid", BLOCK).select("task", "component", "sid"))
+    one = one.select(shared.alias("task"), F.col("path").alias("component"), "sid", (~main).alias("in_a"), F.lit(True).alias("in_b"))
+    return one.union(dealt_pairs(j.where(~few).select(F.col("path").alias("component"), "sid", "n")))
+
+
+def dealt_pairs(members: DataFrame) -> DataFrame:
+    """``members(component, sid, n)`` in tasks ``(task, component, sid, in_a, in_b)``: those in a are to meet those in b."""
+    d = block_pairs(members, "sid", BLOCK, weight="n", most=TOKENS, together=TOGETHER)
+    return d.select("task", "component", "sid", (F.col("blk") == F.col("lo")).alias("in_a"), (F.col("blk") == F.col("hi")).alias("in_b"))
+
+
+def meeting(c: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in a, places in b, which of them are near) of the sets of one task and component."""
+    a, b, sets = np.flatnonzero(c["in_a"]), np.flatnonzero(c["in_b"]), c["shingles"].to_list()
+    if len(a) == len(b) == len(sets):
+        return a, b, similar(sets, None, threshold)
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b)), bool)
+    near = similar([sets[i] for i in a], [sets[i] for i in b], threshold)
+    near[a[:, None] == b[None, :]] = False
+    return a, b, near
 
 
 def verified(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -148,12 +181,15 @@ def verified(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             c = c.drop_duplicates("sid")
             ids = c["sid"].to_numpy()
             if len(ids) > 1:
-                first = spread(similar(c["shingles"].to_list(), threshold) | np.eye(len(ids), dtype=bool))
+                a, b, hits = meeting(c, threshold)
+                near = np.eye(len(ids), dtype=bool)
+                near[np.ix_(a, b)] |= hits
+                first = spread(near | near.T)
                 hit = first != np.arange(len(ids))
                 out.append(pd.DataFrame({"a": ids[hit], "b": ids[first[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
-    wide = dealt.join(sets, "sid").select("task", "component", "sid", "shingles")
+    wide = dealt.join(sets, "sid").select("task", "component", "sid", "in_a", "in_b", "shingles")
     return written(wide.groupBy("task").applyInPandas(run, "a long, b long").distinct(), "pairs")
 
 
@@ -163,15 +199,16 @@ def count_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
         out = []
         for _, c in g.groupby("component", sort=False):
             c = c.drop_duplicates("sid")
-            near = similar(c["shingles"].to_list(), threshold)
-            if c["lo"].iloc[0] != c["hi"].iloc[0]:
-                blk = c["blk"].to_numpy()
-                near &= blk[:, None] != blk[None, :]
-            out.append(pd.DataFrame({"sid": c["sid"], "links": near @ c["copies"].to_numpy()}))
+            copies, links = c["copies"].to_numpy(), np.zeros(len(c), np.int64)
+            a, b, near = meeting(c, threshold)
+            links[a] += near @ copies[b]
+            if len(a) < len(c):
+                links[b] += near.T @ copies[a]
+            out.append(pd.DataFrame({"sid": c["sid"], "links": links}))
         return pd.concat(out)
 
-    dealt = block_pairs(members, "sid", BLOCK).join(sets, "sid").select("task", "component", "lo", "hi", "blk", "sid", "copies", "shingles")
-    return dealt.groupBy("task").applyInPandas(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+    wide = dealt_pairs(members).join(sets, "sid").select("task", "component", "in_a", "in_b", "sid", "copies", "shingles")
+    return wide.groupBy("task").applyInPandas(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: float = 0.999, links: bool = True) -> DataFrame:
@@ -188,17 +225,17 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, reca
     found = written(buckets(classes, runs_for(threshold, recall)), "buckets")
     wanted = found.select("sid").distinct()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("sid"), "left_semi")
-    sets = written(sketches(picked, k, True).withColumnRenamed("doc_id", "sid"), "sets")
-    early = found.where(F.col("run") < FIRST).select(F.col("path").alias("component"), "sid")
-    part = components(verified(block_pairs(early, "sid", BLOCK).select("task", "component", "sid"), sets, threshold))
-    rest = found.where(F.col("run") >= FIRST).join(part, F.col("sid") == F.col("node"), "left").select("path", "sid", F.coalesce("component", "sid").alias("c"))
+    sets = written(sketches(picked, k, True).withColumnRenamed("doc_id", "sid").join(classes.select("sid", "copies"), "sid"), "sets")
+    early = found.where(F.col("run") < FIRST).select(F.col("path").alias("component"), "sid", "n")
+    part = components(verified(dealt_pairs(early), sets, threshold))
+    rest = found.where(F.col("run") >= FIRST).join(part, F.col("sid") == F.col("node"), "left").select("path", "sid", "n", F.coalesce("component", "sid").alias("c"))
     split = rest.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("path")
     late = written(rest.join(split, "path", "left_semi"), "late")
     more = verified(odd_blocks(late), sets, threshold)
     comp = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(comp, F.col("sid") == F.col("node"), "left").select("k1", "k2", "n", "sid", "copies", "component")
     if links:
-        counted = count_links(named.where("component is not null").select("component", "sid", "copies"), sets, threshold)
+        counted = count_links(named.where("component is not null").select("component", "sid", "n"), sets, threshold)
         named = named.join(counted, "sid", "left").withColumn("total", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     else:
         named = named.withColumn("total", F.lit(None).cast("long"))

@@ -64,11 +64,26 @@ def test_jaccard_equals_all_pairs(spark):
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
-def test_overlaps_in_narrow_strips():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)]
-    got = jaccard.overlaps(sets, width=7)
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+def test_similar_in_narrow_strips_within_and_across():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 30, 25).astype(np.int64)) for _ in range(20)]
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5
+    want = np.array([[i != j and share(x, y) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    assert (jaccard.similar(sets, None, 0.5, width=7) == want).all() and want.any()
+    assert (jaccard.similar(sets[:8], sets[8:], 0.5, width=7) == want[:8, 8:]).all()
+    assert not jaccard.similar([np.array([1, 2])], [np.array([3])], 0.5).any()
+
+
+def test_pairs_of_blocks_see_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "TOKENS", 90)
+    rows = [(1, i, 20 + i % 3) for i in range(14)] + [(2, 100 + i, 5) for i in range(2)]
+    met = {}
+    for r in jaccard.dealt_pairs(spark.createDataFrame(rows, "component long, sid long, n long")).collect():
+        met.setdefault((r.task, r.component), []).append(r)
+    seen = [tuple(sorted((x.sid, y.sid))) for g in met.values() for x in g for y in g if x.in_a and y.in_b and x.sid != y.sid]
+    want = {(i, j) for i in range(14) for j in range(i + 1, 14)} | {(100, 101)}
+    assert set(seen) == want
 
 
 def test_near_duplicates_equal_all_pairs(spark):
