@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.bpe import Memo
+from emberlog.llm.bpe import Memo, byte_letters
 from emberlog.llm.common import new_path
 
 MAGIC, HEADER, BLOCK = b"EMBTOK01", struct.Struct("<8sIIQQ"), 4096
@@ -123,14 +125,17 @@ class Shard:
 _TOKENIZERS: dict = {}
 #: Entries that a memo generation holds.
 MEMO = 400_000
+#: Letters below this code point are handed to the model directly; ASCII signs that may follow a word.
+LATIN, SIGNS = "\u0250", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def library_encoder(path: str):
     """Text to an array of ids by the tokenizers library.
 
     White space never joins two tokens in these files, so the library is given the stretches between plain spaces and
-    line ends; a letter run is lower-cased at its start and parted from one sign behind it, as the file's own rules would,
-    so that more stretches are alike. Answers are kept as bytes in bounded memos.
+    line ends. Its normalizer and splitter only lower-case a run of Latin letters and part it from the signs behind
+    it, so such a run goes to the library's model as it is, in byte letters; every other stretch takes the whole way.
+    Answers are kept as bytes in bounded memos.
     """
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,16 +144,29 @@ def library_encoder(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        ask = Memo(lambda c: np.array(t.encode(c, add_special_tokens=False).ids, "<u4").tobytes(), MEMO)
+        model, letters = t.model, byte_letters()
+
+        def whole(c: str) -> bytes:
+            return array("I", t.encode(c, add_special_tokens=False).ids).tobytes()
+
+        def word(c: str) -> bytes:
+            low = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).lower()
+            if not low.isascii():
+                if not low.isalpha() or max(low) >= LATIN:
+                    return whole(c)
+                low = "".join([letters[b] for b in low.encode("utf-8")])
+            return array("I", [x.id for x in model.tokenize(low)]).tobytes()
+
+        words, rest = Memo(word, MEMO), Memo(whole, MEMO)
 
         def stretch(c: str) -> bytes:
             if not c:
                 return b""
-            if c.isalpha():
-                return ask(c[0].lower() + c[1:])
-            if c[-1] in ".,;:!?" and c[:-1].isalpha():
-                return ask(c[0].lower() + c[1:-1]) + ask(c[-1])
-            return ask(c)
+            run = c.rstrip(SIGNS)
+            if run.isalpha() and max(run) < LATIN:
+                low = run.lower()
+                return words(low if len(low) == len(run) else run) + (rest(c[len(run):]) if len(run) < len(c) else b"")
+            return rest(c)
 
         _TOKENIZERS[path] = Memo(stretch, MEMO)
     memo = _TOKENIZERS[path]
