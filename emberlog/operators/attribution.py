@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
+from emberlog.functions.groups import per_group
 from emberlog.functions.intervals import near_join
 
 # How far an attempt may lie from its result (seconds, rows).
@@ -80,13 +80,10 @@ def control_credit(rows: DataFrame, skills: DataFrame, keys: list[str]) -> DataF
     s = skills.select(F.col("skill").alias("_s"), F.col("category").alias("_c"))
     a = rows.where(F.col("kind").isin("cast", "status", "ability_hit")).join(s, F.col("skill") == F.col("_s")).withColumn("outcome", F.col("_c")).drop("_s", "_c")
     r = rows.where("kind = 'cc'")
-    both = r.select(*keys, "seq", "ts", "kind", "actor", "target", "skill", "outcome").union(a.select(*keys, "seq", "ts", "kind", "actor", "target", "skill", "outcome"))
+    parts = ["seq", "ts", "kind", "actor", "target", "skill", "outcome"]
+    both = r.select(*keys, *parts).union(a.select(*keys, *parts))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        cc = g[g["kind"] == "cc"]
-        at = g[g["kind"] != "cc"].sort_values("seq")
-        out = credit(list(cc[["seq", "ts", "target", "outcome"]].itertuples(index=False, name=None)), list(at[["seq", "ts", "kind", "actor", "target", "skill", "outcome"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(out) for k in keys}, "seq": [o[0] for o in out], "actor": pd.Series([o[1] for o in out], dtype=object), "skill": pd.Series([o[2] for o in out], dtype=object)})
+    def rule(g: list[tuple]) -> list[tuple]:
+        return credit([(x[0], x[1], x[4], x[6]) for x in g if x[2] == "cc"], [x for x in g if x[2] != "cc"])
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return both.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, actor string, skill string")
+    return per_group(both, keys, ["seq"], rule, "seq long, actor string, skill string")
