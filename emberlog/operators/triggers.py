@@ -10,6 +10,8 @@ from emberlog.operators.encounters import anchored
 
 #: Rules a table may hold: it is broadcast, so its size is checked.
 MOST_RULES = 10_000
+#: Letters of a pattern and of a line above which they do not match.
+MOST_PATTERN, MOST_LINE = 2048, 8192
 
 
 def folded(text: Column) -> Column:
@@ -20,13 +22,13 @@ def matches(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """``(stream_id, seq, ts, rule_id)`` of lines that a rule ``(rule_id, mode, pattern, fuzzy)`` matches.
 
     Modes contains, starts and exact compare folded words; fuzzy allows each word its spelling limit; regex is as written.
-    Lines above 2,048 letters do not match. The rules are few, so they are sent to every task after their number is checked.
+    Patterns above 2,048 letters and lines above 8,192 do not match. The rules are few, so they are sent to every task after their number is checked.
     """
     n = rules.limit(MOST_RULES + 1).count()
     if n > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    r = F.broadcast(rules.select("rule_id", "mode", "fuzzy", "pattern", folded(F.col("pattern")).alias("_p")))
-    t = lines.where(F.length("text") <= 2048).select("stream_id", "seq", "ts", "text", folded(F.col("text")).alias("_t"))
+    r = F.broadcast(rules.where(F.length("pattern") <= MOST_PATTERN).select("rule_id", "mode", "fuzzy", "pattern", folded(F.col("pattern")).alias("_p")))
+    t = lines.where(F.length("text") <= MOST_LINE).select("stream_id", "seq", "ts", "text", folded(F.col("text")).alias("_t"))
     padded, needle = F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" "))
     words, want = F.split("_t", " "), F.split("_p", " ")
     alike = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - F.size(want), F.lit(0))), lambda i: F.forall(

@@ -1,5 +1,5 @@
 from emberlog.functions.groups import per_group
-from emberlog.operators import attribution, encounters as E, metrics as M, resolve, roster
+from emberlog.operators import attribution, encounters as E, metrics as M, resolve, roster, triggers
 from emberlog.operators.parse import parse
 
 LINES = [
@@ -54,3 +54,9 @@ def test_a_clear_forgets_the_party(spark):
     text = ["Bo has joined the party.", "You have left the party.", "Al has joined the party.", "You invited Ed to your party.", "Ed has joined the party.", "Al has left the party."]
     ops = roster.evidence(spark.createDataFrame([("s", i, float(i), x) for i, x in enumerate(text)], "stream_id string, seq long, ts double, text string"))
     assert [r.name for r in roster.membership(ops).collect()] == ["Ed"]
+
+
+def test_long_lines_match_and_long_patterns_do_not(spark):
+    lines = spark.createDataFrame([("s", i, 0.0, "x" * (n - 8) + " the end") for i, n in enumerate([2048, 2049, 3000, 8192, 8193])], "stream_id string, seq long, ts double, text string")
+    rules = spark.createDataFrame([(1, "contains", "the end", False), (2, "contains", "x" * 2049, False), (3, "exact", "x" * 2040 + " the end", False)], "rule_id long, mode string, pattern string, fuzzy boolean")
+    assert sorted((r.seq, r.rule_id) for r in triggers.matches(lines, rules).collect()) == [(0, 1), (0, 3), (1, 1), (2, 1), (3, 1)]
