@@ -38,8 +38,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, their number and digest, and the digest of the text they decode to."""
-    return bpe.encoded_digests(docs, word_bpe())
+    """Each document's ids, their number and digest, and the digest of the text they decode to, in the mixed order.
+
+    Files that are read again lose the order of their rows, so the schedule is computed again; it rests on the rows alone.
+    """
+    return bpe.encoded_digests(mixing_stage(spark, docs, sf_dir), word_bpe())
 
 
 STAGES = [

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import quality
+from emberlog.llm import mixing, quality
 
 
 def make(spark, tmp, n=240):
@@ -60,3 +60,12 @@ def test_statistics(spark):
     r = spark.createDataFrame([("Aa aa\nAa 12!",), (None,)], "text string").select(*[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).collect()
     assert list(quality.statistics(F.col("text"))) == quality.NAMES
     assert r[0].words == 4 and r[0].distinct_words == 0.75 and r[0].word_length == 2.25 and r[0].upper == 2 / 12 and set(r[1]) == {0.0, 1.0} - ({1.0} if r[1].distinct_lines == 0 else set())
+
+
+def test_the_mix_outlives_files(spark, tmp_path):
+    rows = [(i, "ab cd " * (300 if i % 4 else 1500), "en", f"s{i % 3}", 0) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.repartition(7).write.parquet(f"{tmp_path}/mixed")  # as a reader may deal them
+    got = [r.doc_id for r in corpus_pipeline.token_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()]
+    slots = mixing.with_slots(d, size=F.length("text"), block_size=65536, slots=1000).select("doc_id", "_mix.slot", "_mix.h").collect()
+    assert got == [r.doc_id for r in sorted(slots, key=lambda r: (r.slot, r.h))]
