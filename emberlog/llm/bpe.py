@@ -16,9 +16,12 @@ from collections.abc import Iterator
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Words that a memo generation holds; two generations live at once.
-MEMO = 150_000
+from emberlog.llm.common import unused
+
+#: Words that a memo generation holds, and letters of a word above which it is not kept: a memo's bytes are bounded. Two generations live at once.
+MEMO, LONGEST = 150_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -34,12 +37,15 @@ def byte_letters() -> list[str]:
 
 
 class Memo:
-    """A bounded map: when the young generation is full it becomes the old one, and the old one is forgotten."""
+    """A map of bounded bytes: keys above ``LONGEST`` letters are made anew each time; when the young generation is full it
+    becomes the old one, and the old one is forgotten."""
 
     def __init__(self, make, limit: int = MEMO):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def __call__(self, key: str):
+        if len(key) > LONGEST:
+            return self.make(key)
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key)
@@ -140,32 +146,36 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(df: DataFrame, path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, an array of ids of each whole text; null and empty texts have none. A clashing column is replaced."""
-    if out in df.columns and out != text:
-        df = df.drop(out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` array<int>"
+def with_arrow(df: DataFrame, source: str, out: str, kind: str, make) -> DataFrame:
+    """``df`` with ``out`` made from the values of ``source``, a batch at a time; the other columns' Arrow data stay as they are.
+
+    A column of ``df`` with the name ``out`` (letters of either case) is replaced.
+    """
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(unused("_source", kept)))
+    fields = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T._parse_datatype_string(kind))])
 
     def run(batches: Iterator):
-        bpe = load(path)
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        made = to_arrow_type(fields[-1].dataType)
         for b in batches:
-            yield b.assign(**{out: [bpe.encode(t or "") for t in b[text]]})
+            new = pa.array(make(b.column(len(kept))), made)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], new], [*kept, out])
 
-    return df.mapInPandas(run, fields)
+    return src.mapInArrow(run, fields)
 
 
-def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``df`` with ``out``, the text of each id array; a null array gives an empty text. A clashing column is replaced."""
-    if out in df.columns:
-        df = df.drop(out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` string"
+def encode(df: DataFrame, path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
+    """``df`` with ``out``, an array of ids of each whole text; null and empty texts have none. A clashing column is replaced; the
+    others pass through unchanged, nulls, long numbers and repeated rows too. An empty table gives an empty table."""
+    return with_arrow(df, text, out, "array<int>", lambda values: list(map(load(path).encode, (t or "" for t in values.to_pylist()))))
 
-    def run(batches: Iterator):
-        bpe = load(path)
-        for b in batches:
-            yield b.assign(**{out: [bpe.decode([] if x is None else list(x)) for x in b[ids]]})
 
-    return df.mapInPandas(run, fields)
+def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "text") -> DataFrame:
+    """``df`` with ``out``, the text of each id array; a null array gives an empty text. Other columns as for ``encode``."""
+    return with_arrow(df, ids, out, "string", lambda values: list(map(load(path).decode, (x or [] for x in values.to_pylist()))))
 
 
 def encoded_digests(df: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

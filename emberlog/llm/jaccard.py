@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import block_pairs, components, written
+from emberlog.llm.common import block_pairs, components, joined_anew, removed, written
 from emberlog.llm.neardup import spread
 from emberlog.llm.shingles import lists, windows, word_hashes
 
@@ -27,8 +27,21 @@ BLOCK, TOKENS, TOGETHER, FIRST = 768, 1 << 20, 768, 2
 
 
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at ``threshold`` that is split ``DEPTH`` times is still missed at most 1 - ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** DEPTH))
+    """Runs after which a pair at ``threshold`` that is split ``DEPTH`` times is still missed at most 1 - ``recall``.
+
+    All runs draw their splits from the same ``SKETCH`` places. So the share of places on which the pair agrees, which is binomial, makes
+    the runs succeed together; the miss is its mean over that share.
+    """
+    agreed = np.arange(SKETCH + 1)
+    log_c = np.array([math.lgamma(SKETCH + 1) - math.lgamma(i + 1) - math.lgamma(SKETCH - i + 1) for i in agreed])
+    weight = np.exp(log_c + agreed * math.log(threshold) + (SKETCH - agreed) * math.log1p(-threshold)) if threshold < 1 else (agreed == SKETCH).astype(float)
+    whole = np.ones(SKETCH + 1)
+    for j in range(DEPTH):
+        whole *= np.maximum(agreed - j, 0) / (SKETCH - j)
+    runs = 1
+    while float((weight * (1 - whole) ** runs).sum()) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def sketches(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
@@ -66,7 +79,7 @@ def sketches(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, shingles array<long>" if with_sets else "doc_id long, n long, k1 long, k2 long, sig array<int>")
 
 
-def buckets(classes: DataFrame, runs: int) -> DataFrame:
+def buckets(classes: DataFrame, runs: int, scratch: list[str]) -> DataFrame:
     """``(run, path, sid, n)`` of every bucket of two sets or more where splitting ended.
 
     A bucket that keeps three quarters of its parent holds sets alike, which further splits would only wear off.
@@ -79,7 +92,7 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
     done = []
     for depth in range(START, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        live = written(rows.join(sizes, "path"), "paths")
+        live = written(joined_anew(rows, sizes, ["path"]), "paths", scratch)
         ended = "true" if depth == DEPTH else f"m <= {SMALL} or m > 0.75 * coalesce(parent, 2 * m)"
         done.append(live.where(ended).select("run", "path", "sid", "n"))
         if depth == DEPTH:
@@ -173,7 +186,7 @@ def meeting(c: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray,
     return a, b, near
 
 
-def verified(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verified(dealt: DataFrame, sets: DataFrame, threshold: float, scratch: list[str]) -> DataFrame:
     """``(a, b)``: the sets of each task's buckets united over their pairs at the threshold."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -190,7 +203,7 @@ def verified(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     wide = dealt.join(sets, "sid").select("task", "component", "sid", "in_a", "in_b", "shingles")
-    return written(wide.groupBy("task").applyInPandas(run, "a long, b long").distinct(), "pairs")
+    return written(wide.groupBy("task").applyInPandas(run, "a long, b long").distinct(), "pairs", scratch)
 
 
 def count_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -211,7 +224,7 @@ def count_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return wide.groupBy("task").applyInPandas(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
 
 
-def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: float = 0.999, links: bool = True) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: float = 0.995, links: bool = True) -> DataFrame:
     """``(doc_id, class_id, n_links, kept)``, a row for each row of ``docs(doc_id, text)``.
 
     Documents link when their sets of ``k``-word shingles have a Jaccard similarity of ``threshold`` or more; a text of
@@ -220,18 +233,19 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, reca
     id has no class and is kept. Rows that repeat a doc_id are copies, or with other texts one node. Without ``links``
     the exact count is left out and n_links is null. An empty table gives an empty result; other columns are not read.
     """
+    spark, scratch = docs.sparkSession, []
     keys = written(sketches(docs.where("doc_id is not null"), k, False), "keys")
-    classes = written(keys.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    found = written(buckets(classes, runs_for(threshold, recall)), "buckets")
+    classes = written(keys.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes", scratch)
+    found = written(buckets(classes, runs_for(threshold, recall), scratch), "buckets", scratch)
     wanted = found.select("sid").distinct()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("sid"), "left_semi")
-    sets = written(sketches(picked, k, True).withColumnRenamed("doc_id", "sid").join(classes.select("sid", "copies"), "sid"), "sets")
+    sets = written(sketches(picked, k, True).withColumnRenamed("doc_id", "sid").join(classes.select("sid", "copies"), "sid"), "sets", scratch)
     early = found.where(F.col("run") < FIRST).select(F.col("path").alias("component"), "sid", "n")
-    part = components(verified(dealt_pairs(early), sets, threshold))
+    part = components(verified(dealt_pairs(early), sets, threshold, scratch))
     rest = found.where(F.col("run") >= FIRST).join(part, F.col("sid") == F.col("node"), "left").select("path", "sid", "n", F.coalesce("component", "sid").alias("c"))
     split = rest.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("path")
-    late = written(rest.join(split, "path", "left_semi"), "late")
-    more = verified(odd_blocks(late), sets, threshold)
+    late = written(joined_anew(rest, split, ["path"], "left_semi"), "late", scratch)
+    more = verified(odd_blocks(late), sets, threshold, scratch)
     comp = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(comp, F.col("sid") == F.col("node"), "left").select("k1", "k2", "n", "sid", "copies", "component")
     if links:
@@ -240,6 +254,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, reca
     else:
         named = named.withColumn("total", F.lit(None).cast("long"))
     named = written(named.select("k1", "k2", "n", F.coalesce("component", "sid").alias("class"), "total"), "named")
+    removed(spark, scratch)
     by_doc = keys.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("class").alias("_class"), F.max("total").alias("_total"))
     by_doc = by_doc.withColumnRenamed("doc_id", "_id")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import joined_anew, unused
+
 
 def chunks_of(text: Column, window: int = 2, modulus: int = 3) -> Column:
     """The text's chunks: array of ``struct(i, n, body)``; the bodies joined by newlines are the text."""
@@ -37,27 +39,31 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     Hashes find candidates, then the bytes themselves are grouped, so a collision removes nothing. A null text stays
     null and an empty one empty; a document all of whose chunks go keeps an empty text. Rows with equal id and text
-    are one document and keep or lose the same chunks; null ids come first. Other columns pass through.
+    are one document and keep or lose the same chunks; null ids come first. Other columns pass through, whatever their names; one that
+    is called ``_lines`` is replaced. An empty table gives an empty table.
     """
+    names = {n: unused(f"_{n}", docs.columns) for n in ("th", "gone", "gone_id", "gone_th", "kept")}
+    out_name = "_lines"
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     flat = (docs.select(key.alias("k"), F.explode(F.filter(chunks_of(F.col(text), window, modulus), lambda c: c["n"] >= min_lines)).alias("c"))
             .select("k", "c.i", "c.body", F.xxhash64("c.body").alias("h")))
     again = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = flat.join(again, "h", "left_semi")
+    found = joined_anew(flat, again, ["h"], "left_semi")
     place = F.struct(F.col("k.id"), F.col("i"), F.col("k.th"))
-    first = found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("body").alias("same"), "first")
-    gone = found.join(first, (found["h"] == first["h"]) & (F.col("body") == F.col("same"))).where(~place.eqNullSafe(F.col("first")))
-    drop = gone.groupBy("k").agg(F.collect_set("i").alias("_gone")).select(F.col("k.id").alias("_gone_id"), F.col("k.th").alias("_gone_th"), "_gone")
-    out = docs.withColumn("_th", key["th"]).join(drop, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left")
+    first = found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "body", "first")
+    gone = joined_anew(found, first, ["h", "body"]).where(~place.eqNullSafe(F.col("first")))
+    drop = gone.groupBy("k").agg(F.collect_set("i").alias(names["gone"])).select(F.col("k.id").alias(names["gone_id"]), F.col("k.th").alias(names["gone_th"]), names["gone"])
+    out = docs.withColumn(names["th"], key["th"]).join(drop, F.col(doc_id).eqNullSafe(F.col(names["gone_id"])) & (F.col(names["th"]) == F.col(names["gone_th"])), "left")
     kept = F.element_at(F.transform(F.array(chunks_of(F.col(text), window, modulus)), lambda cs: F.struct(
         F.aggregate(cs, F.lit(0), lambda a, c: a + c["n"]).alias("total"),
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), F.col("_gone")), lambda i: F.get(cs, i)).alias("left"))), 1)
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    lines = F.when(F.col("_kept").isNull(), F.size(F.split(F.col(text), "\n", -1))).otherwise(F.col("_kept.total"))
-    removed = F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_kept.total") - F.aggregate("_kept.left", F.lit(0), lambda a, c: a + c["n"]))
-    clean = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_kept.left", lambda c: c["body"]), "\n"))
-    cols = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, F.struct(F.coalesce(lines, F.lit(0)).cast("long").alias("n"), removed.cast("long").alias("removed")).alias("_lines"))
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), F.col(names["gone"])), lambda i: F.get(cs, i)).alias("left"))), 1)
+    out = out.withColumn(names["kept"], F.when(F.col(names["gone"]).isNotNull(), kept))
+    part = F.col(names["kept"])
+    lines = F.when(part.isNull(), F.size(F.split(F.col(text), "\n", -1))).otherwise(part["total"])
+    removed = F.when(part.isNull(), 0).otherwise(part["total"] - F.aggregate(part["left"], F.lit(0), lambda a, c: a + c["n"]))
+    clean = F.when(part.isNull(), F.col(text)).otherwise(F.array_join(F.transform(part["left"], lambda c: c["body"]), "\n"))
+    cols = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != out_name]
+    return out.select(*cols, F.struct(F.coalesce(lines, F.lit(0)).cast("long").alias("n"), removed.cast("long").alias("removed")).alias(out_name))
 
 
 SQL = """

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.bpe import with_arrow
 from emberlog.llm.common import written
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
@@ -89,9 +90,13 @@ def read_wav(media: bytes) -> tuple[int, int, int, memoryview]:
     view, at, found = memoryview(media), 12, {}
     while at + 8 <= len(media):
         name, size = bytes(view[at:at + 4]), struct.unpack_from("<I", media, at + 4)[0]
-        found[name] = view[at + 8:at + 8 + size]
+        found.setdefault(name, view[at + 8:at + 8 + size])
         at += 8 + size + size % 2
-    tag, _, rate, _, align, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    if len(found.get(b"fmt ", b"")) < 16 or b"data" not in found:
+        raise ValueError("no format or no samples")
+    tag, channels, rate, _, align, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    if channels != 1 or not rate or tag == ADPCM and align < 5:
+        raise ValueError("no telephony sound: one channel, a rate and whole blocks are needed")
     return tag, rate, align, found[b"data"]
 
 
@@ -113,23 +118,18 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
 def transcode(df: DataFrame, *, media: str = "media", out: str = "pcm", rate: int = 16000) -> DataFrame:
     """``df`` with ``out``: each media value decoded, resampled to ``rate`` and stored as a PCM file.
 
-    A null value stays null, an empty sound is a file without samples; a clashing column is replaced.
+    A null value stays null, and a value that is no telephony sound (no RIFF/WAVE file, cut headers, another format, several channels) gives
+    null. An empty sound is a file without samples. A clashing column is replaced; the others pass through unchanged. Repeated rows
+    give repeated results, an empty table an empty one.
     """
-    if out in df.columns:
-        df = df.drop(out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` binary"
-
-    def one(m):
-        if m is None:
+    def one(m: bytes | None) -> bytes | None:
+        try:
+            pcm, source = to_pcm(m) if m is not None else (None, 0)
+        except ValueError:
             return None
-        pcm, source = to_pcm(bytes(m))
-        return wav(resample(pcm, source, rate).astype("<i2").tobytes(), PCM, rate, 2, 16)
-
-    def run(batches: Iterator):
-        for b in batches:
-            yield b.assign(**{out: [one(m) for m in b[media]]})
+        return None if pcm is None else wav(resample(pcm, source, rate).astype("<i2").tobytes(), PCM, rate, 2, 16)
 
-    return df.mapInPandas(run, fields)
+    return with_arrow(df, media, out, "binary", lambda values: [one(m.as_py()) for m in values])
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import written
+from emberlog.llm.common import unused, written
 
 #: Labelled rows that fitting sees at most, about; see ``training_rows``.
 SAMPLE_ROWS = 20_000
@@ -109,8 +109,14 @@ def fit(rows: DataFrame, *, trees: int = 10, depth: int = 3, penalty: float = 0.
 
 
 def classify(docs: DataFrame, model: RuleModel, *, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``_quality = struct(held_out, score, predicted)``, computed in column expressions only."""
-    stats = docs.withColumn("_stats", F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]))
-    scored = stats.withColumn("_score", model.score({k: F.col(f"_stats.{k}") for k in NAMES}))
-    q = F.struct(held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], q.alias("_quality"))
+    """``docs`` with ``_quality = struct(held_out, score, predicted)``, computed in column expressions only.
+
+    Null and empty texts are scored as empty ones; a null id is not held out. Repeated rows have equal scores; an empty table stays one. Other
+    columns pass through, whatever their names; one that is called ``_quality`` is replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() != "_quality"]
+    stats, score = unused("_stats", kept), unused("_score", kept)
+    scored = docs.withColumn(stats, F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]))
+    scored = scored.withColumn(score, model.score({k: F.col(f"{stats}.{k}") for k in NAMES}))
+    q = F.struct(held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
+    return scored.select(*[F.col(f"`{c}`") for c in kept], q.alias("_quality"))

@@ -1,8 +1,8 @@
 """Binary token files: every id in the fewest bits its vocabulary needs, in blocks that can be read alone.
 
-A shard holds a header (magic, bits, ids in a block, documents, ids), each document's id and first id, each block's
-byte offset, then the blocks. A block's ids are packed most significant bit first; numpy unpacks any block, or any
-run of ids, without the rest of the file.
+A shard holds a header (magic, bits, ids in a block), the blocks, and an index behind them: each document's id and first id, each
+block's byte offset, and the numbers of documents and ids. So a shard is written as a stream and read from its end. A block's ids are
+packed most significant bit first; numpy unpacks any block, or any run of ids, without the rest of the file.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from emberlog.llm.bpe import Memo, byte_letters
 from emberlog.llm.common import new_path
 
-MAGIC, HEADER, BLOCK = b"EMBTOK01", struct.Struct("<8sIIQQ"), 4096
+MAGIC, HEADER, TAIL, BLOCK = b"EMBTOK02", struct.Struct("<8sII"), struct.Struct("<QQ8s"), 4096
+#: Bytes of text that a shard takes, about.
+SHARD_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 
@@ -59,30 +61,38 @@ def filesystem(path: str):
 
 
 def write_shard(path: str, rows: Iterator[tuple[int | None, np.ndarray]], bits: int, block: int = BLOCK) -> tuple[int, int]:
-    """One shard of ``(doc_id, ids)`` rows in order; returns (documents, ids). Blocks are packed as they fill."""
-    names, starts, blocks, rest, held, total = [], [], [], [], 0, 0
-    for name, ids in rows:
-        names.append(NO_ID if name is None else name)
-        starts.append(total)
-        total += len(ids)
-        rest.append(ids)
-        held += len(ids)
-        if held >= 64 * block:
-            flat = np.concatenate(rest)
-            whole = held // block * block
-            blocks += [pack(flat[i:i + block], bits) for i in range(0, whole, block)]
-            rest, held = [flat[whole:]], held - whole
-    flat = np.concatenate(rest) if rest else np.zeros(0, np.uint32)
-    blocks += [pack(flat[i:i + block], bits) for i in range(0, held, block)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
+    """One shard of ``(doc_id, ids)`` rows in order; returns (documents, ids).
+
+    Blocks are packed and written as they fill; memory holds some blocks and the index, 24 bytes for each document and 8 for each block.
+    """
+    names, starts, offsets, rest, held, total = array("q"), array("Q"), array("Q", [0]), [], 0, 0
     where, inner = filesystem(path)
     where.create_dir(os.path.dirname(inner), recursive=True)
     part = f"{inner}.{uuid.uuid4().hex}.part"  # a second attempt writes its own file; the last move wins with equal bytes
     with where.open_output_stream(part) as f:
-        f.write(HEADER.pack(MAGIC, bits, block, len(names), total))
-        f.write(np.array(names, "<i8").tobytes() + np.array(starts, "<u8").tobytes() + offsets.tobytes())
-        for b in blocks:
-            f.write(b)
+        f.write(HEADER.pack(MAGIC, bits, block))
+
+        def blocks(n: int) -> list[np.ndarray]:
+            """Write the first ``n`` held ids as blocks; gives back what is left."""
+            flat = np.concatenate(rest) if rest else np.zeros(0, np.uint32)
+            for i in range(0, n, block):
+                data = pack(flat[i:min(i + block, n)], bits)
+                f.write(data)
+                offsets.append(offsets[-1] + len(data))
+            return [flat[n:]]
+
+        for name, ids in rows:
+            names.append(NO_ID if name is None else name)
+            starts.append(total)
+            total += len(ids)
+            rest.append(ids)
+            held += len(ids)
+            if held >= 64 * block:
+                rest, held = blocks(held // block * block), held % block
+        blocks(held)
+        for x, kind in ((names, "<i8"), (starts, "<u8"), (offsets, "<u8")):
+            f.write(np.array(x).astype(kind).tobytes())
+        f.write(TAIL.pack(len(names), total, MAGIC))
     where.move(part, inner)
     return len(names), total
 
@@ -93,14 +103,17 @@ class Shard:
     def __init__(self, path: str):
         where, inner = filesystem(path)
         self.f = where.open_input_file(inner)
-        magic, self.bits, self.block, self.docs, self.total = HEADER.unpack(self.f.read(HEADER.size))
-        if magic != MAGIC:
-            raise ValueError(f"{path} is no token file")
+        magic, self.bits, self.block = HEADER.unpack(self.f.read(HEADER.size))
+        self.f.seek(self.f.size() - TAIL.size)
+        self.docs, self.total, again = TAIL.unpack(self.f.read(TAIL.size))
+        if magic != MAGIC or again != MAGIC:
+            raise ValueError(f"{path} is no whole token file")
+        n = -(-self.total // self.block)
+        self.f.seek(self.f.size() - TAIL.size - 16 * self.docs - 8 * (n + 1))
         self.names = np.frombuffer(self.f.read(8 * self.docs), "<i8")
         self.starts = np.append(np.frombuffer(self.f.read(8 * self.docs), "<u8"), np.uint64(self.total)).astype(np.int64)
-        n = -(-self.total // self.block)
         self.offsets = np.frombuffer(self.f.read(8 * (n + 1)), "<u8").astype(np.int64)
-        self.base = HEADER.size + 16 * self.docs + 8 * (n + 1)
+        self.base = HEADER.size
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard; reads only the blocks that hold them."""
@@ -123,8 +136,8 @@ class Shard:
 
 
 _TOKENIZERS: dict = {}
-#: Entries that a memo generation holds.
-MEMO = 400_000
+#: Entries that a memo generation holds; none is longer than ``bpe.LONGEST`` letters.
+MEMO = 200_000
 #: Letters below this code point are handed to the model directly; ASCII signs that may follow a word.
 LATIN, SIGNS = "\u0250", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -181,12 +194,13 @@ def library_encoder(path: str):
     return encode
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int | None, path: str | None = None, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int | None, path: str | None = None, *, text: str = "text", doc_id: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write every text's ids as shards in ascending doc_id order; returns the manifest ``(shard, path, docs, ids, start)``.
 
     Rows are dealt by ranges of doc_id, so shard order is document order and a range is one task's stream. A null
     text has no ids but the end id; null doc_ids come first; rows that repeat a doc_id follow each other by the text's hash. An empty
-    table writes no shard. The manifest has one row for each shard and is a written table.
+    table writes no shard; other columns are not read. The number of shards follows from the bytes of the texts, ``shard_bytes`` each. The
+    manifest has one row for each shard and is a written table.
     """
     spark, bits = docs.sparkSession, bits_for(vocabulary)
     path = path or new_path(spark, "tokens")
@@ -209,14 +223,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int |
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [at], "docs": [n], "ids": [total]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    shards = 1 + (src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
+    dealt = src.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     dealt.mapInArrow(run, "shard long, path string, docs long, ids long").write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
     return manifest.withColumn("start", F.sum("ids").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("ids"))
 
 
 def read_tokens(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` read from the shards; ``start`` counts the ids of all documents before."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` read from the shards; ``start`` counts the ids of all documents before.
+
+    Every shard is a task of its own unless ``tasks`` says otherwise; an empty manifest gives no rows.
+    """
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -231,8 +249,8 @@ def read_tokens(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
                         out = ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = manifest.select("path", "start", "shard")
-    dealt = dealt.repartition(tasks, "shard") if tasks else dealt.repartition("shard")
+    # ranges of a stated number keep adaptive execution from folding the small manifest into one task
+    dealt = manifest.select("path", "start", "shard").repartitionByRange(tasks or max(1, manifest.count()), "shard")
     return dealt.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -44,22 +44,37 @@ def write_archive(pages: DataFrame, path: str | None = None, *, min_revisit: int
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(record, payload)``: each original record's exact bytes, and the payload it stands for (a revisit's by its digest)."""
-    joined = spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/blobs").select("sha256", "payload"), "sha256")
-    return joined.select(F.concat("header", F.when(F.col("has_payload"), F.col("payload")).otherwise(F.lit(b"")), F.lit(END.encode())).alias("record"), "payload")
+    """``(record, full_bytes, full_sha1)``: each original record's exact bytes, and the length and SHA-1 of the payload it stands for.
+
+    Payloads are read back and digested once each. Records that carry a payload join with it; revisits only join with its length and
+    digest, so a payload that many pages share does not travel to each of them. An archive without pages gives no rows; repeated pages
+    give repeated records; a payload may be empty.
+    """
+    blobs = spark.read.parquet(f"{path}/blobs").select("sha256", "payload", F.octet_length("payload").cast("long").alias("full_bytes"), F.sha1("payload").alias("full_sha1"))
+    heads = spark.read.parquet(f"{path}/headers")
+    end = F.lit(END.encode())
+    whole = heads.where("has_payload").join(blobs, "sha256").select(F.concat("header", "payload", end).alias("record"), "full_bytes", "full_sha1")
+    bare = heads.where("not has_payload").join(blobs.drop("payload"), "sha256").select(F.concat("header", end).alias("record"), "full_bytes", "full_sha1")
+    return whole.union(bare)
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """``(page_id, url, record_type, refers_to, declared, payload_bytes, payload_digest)`` parsed from the records' bytes."""
-    text = F.decode(F.col("record"), "UTF-8")
-    head = F.substring_index(text, END, 1)
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: <?([^>\r\n]*)", 1), F.lit(""))
-    page = lambda name: F.regexp_extract("head", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1)
-    body = F.expr(f"substring(record, octet_length(head) + 5 + octet_length(http) + 4, cast(regexp_extract(head, '(?m)^Content-Length: ([0-9]+)', 1) as int) - octet_length(http) - 4)")
-    r = records.select("record", "payload", head.alias("head"), F.substring_index(F.substring_index(text, END, 2), END, -1).alias("http"))
-    r = r.withColumn("carried", body).withColumn("kind", field("WARC-Type")).withColumn("full", F.when(F.col("kind") == "response", F.col("carried")).otherwise(F.col("payload")))
-    return r.select(page("WARC-Record-ID").try_cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), F.col("kind").alias("record_type"), page("WARC-Refers-To").try_cast("long").alias("refers_to"),
-                    F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("declared"), F.octet_length("full").cast("long").alias("payload_bytes"), F.sha1("full").alias("payload_digest"))
+    """``(page_id, url, record_type, refers_to, declared, payload_bytes, payload_digest)`` parsed from the records' bytes.
+
+    Header lines end at CR LF and nowhere else, so no character of a url starts another line. A response's length and digest are those of
+    the bytes it carries; a revisit's those of the payload it stands for. A record without a line has null there.
+    """
+    text = F.col("record").cast("string")
+    line = lambda name: F.regexp_extract("head", rf"\r\n{name}: ((?s:.*?))(?:\r\n|\z)", 1)
+    field = lambda name: F.nullif(line(name), F.lit(""))
+    page = lambda name: F.regexp_extract(line(name), r"^<urn:page:(-?\d+)>\z", 1).try_cast("long")
+    r = records.select("record", "full_bytes", "full_sha1", F.substring_index(text, END, 1).alias("head"), F.substring_index(F.substring_index(text, END, 2), END, -1).alias("http"))
+    n = line("Content-Length").try_cast("int") - F.octet_length("http") - 4
+    r = r.withColumn("carried", F.col("record").substr(F.octet_length("head") + F.octet_length("http") + 9, n)).withColumn("kind", field("WARC-Type"))
+    own = F.col("kind") == "response"
+    return r.select(page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), F.col("kind").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+                    F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("declared"), F.when(own, F.octet_length("carried").cast("long")).otherwise(F.col("full_bytes")).alias("payload_bytes"),
+                    F.when(own, F.sha1("carried")).otherwise(F.col("full_sha1")).alias("payload_digest"))
 
 
 SQL = """

@@ -6,13 +6,14 @@ targets follow from its columns, so that SQL can say what every operator must re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import html as H
 from emberlog.functions import text as T
 from emberlog.operators import attribution, boards, encounters as E, metrics as M, replay, resolve, roster, session as S, triggers as R
-from emberlog.operators.parse import parse
+from emberlog.operators.parse import parse, split_fused
+from emberlog.plans.samples import SAMPLES, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -106,6 +107,36 @@ def parse_roundtrip(spark, sf_dir):
     return parse(rendered(spark, sf_dir)).select("stream_id", "seq", "kind", "actor", "target", "amount", "skill", "outcome")
 
 
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of each sort of message in turn, with the names and numbers of the events table."""
+    a = activity(spark, sf_dir)
+    creature = F.element_at(F.array(F.lit("a rat"), F.lit("a wolf"), F.lit("a bat")), (F.pmod("seq", F.lit(3)) + 1).cast("int"))
+    line = F.get(F.array(*[F.lit(row[0]) for row in SAMPLES]), (F.col("seq") % len(SAMPLES)).cast("int"))
+    for mark, value in (("{a}", F.col("actor")), ("{t}", creature), ("{n}", F.col("amount").cast("string"))):
+        line = F.replace(line, F.lit(mark), value)
+    return a.select("stream_id", "seq", "ts", line.alias("text"))
+
+
+FILLED = "replace(replace(replace({0}, '{{a}}', actor), '{{t}}', creature), '{{n}}', CAST(amount AS VARCHAR))"
+
+
+@query("WITH " + EV + ", s(i, kind, actor_, target_, amount_, skill, outcome) AS (VALUES " + values() + "), e AS (SELECT stream_id, seq, actor, amount, ['a rat', 'a wolf', 'a bat'][CAST(seq % 3 AS INT) + 1] AS creature FROM ev) "
+       "SELECT stream_id, seq, s.kind, " + FILLED.format("actor_") + " AS actor, " + FILLED.format("target_") + " AS target, CAST(" + FILLED.format("amount_") + f" AS BIGINT) AS amount, skill, outcome FROM e JOIN s ON s.i = e.seq % {len(SAMPLES)}")
+def parse_all_kinds(spark, sf_dir):
+    return parse(all_lines(spark, sf_dir)).select("stream_id", "seq", "kind", "actor", "target", "amount", "skill", "outcome")
+
+
+@query("WITH " + EV + ", c AS (SELECT * FROM ev WHERE kind = 'melee_hit'), n AS (SELECT stream_id, seq, 0 AS part, actor, amount FROM c UNION ALL SELECT stream_id, seq, 1, target, amount + 1 FROM c) "
+       "SELECT stream_id, seq, CAST(part AS BIGINT) AS part, actor, amount FROM n")
+def fused_lines(spark, sf_dir):
+    """Two hits run together, the first without its end: each keeps its own number."""
+    a = activity(spark, sf_dir).where("kind = 'melee_hit'")
+    line = F.concat("actor", F.lit("'s Amber Lance hits a wolf for "), F.col("amount").cast("string"), F.lit(" points of Ho "), "target", F.lit(" hits Bo for "), (F.col("amount") + 1).cast("string"), F.lit(" points of damage."))
+    parts = split_fused(a.select("stream_id", "seq", "ts", line.alias("text")))
+    e = parse(parts.select(F.struct("stream_id", "seq").alias("stream_id"), F.row_number().over(Window.partitionBy("stream_id", "seq").orderBy("part")).cast("long").alias("seq"), "ts", "text"))
+    return e.select("stream_id.stream_id", F.col("stream_id.seq").alias("seq"), (F.col("seq") - 1).alias("part"), "actor", "amount")
+
+
 @query("WITH " + EV + " SELECT kind, count(*) AS n FROM ev GROUP BY kind")
 def kind_counts(spark, sf_dir):
     return M.kind_counts(parse(rendered(spark, sf_dir)))
@@ -411,8 +442,6 @@ def hp_episodes(spark, sf_dir):
 o AS (SELECT stream_id, amount, e - s AS len, greatest(0.0, least(e, now) - greatest(s, now - 36000)) AS part FROM p WHERE e - s > 0)
 SELECT stream_id, round(sum(amount * part / len) / sum(part) * 3600, 4) AS per_hour FROM o GROUP BY stream_id""")
 def xp_rate(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("stream_id").orderBy("seq")
     p = activity(spark, sf_dir).select("stream_id", F.lag("ts").over(w).alias("start"), F.col("ts").alias("end"), F.col("amount").alias("points"), F.max("ts").over(Window.partitionBy("stream_id")).alias("now"))
     return R.experience_rate(p, 36000.0)
