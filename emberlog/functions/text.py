@@ -61,8 +61,7 @@ def coin_text(amount: Column) -> Column:
 
 def glyph_fold(name: Column) -> Column:
     """Letters that OCR takes for each other become one."""
-    low = F.translate(F.lower(name), "d01iv", "polly")
-    return F.replace(low, F.lit("ffl"), F.lit("m"))
+    return F.translate(F.replace(F.lower(name), F.lit("ffi"), F.lit("m")), "d01iv", "polly")
 
 
 def name_limit(length: Column) -> Column:

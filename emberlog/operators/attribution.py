@@ -53,7 +53,8 @@ def last_cast(events: DataFrame, within_s: float = 12.0) -> DataFrame:
 def credit(results: list[tuple], attempts: list[tuple]) -> list[tuple[int, str, str]]:
     """First come, first served: results ``(seq, ts, target, category)`` take attempts ``(seq, ts, kind, actor, target, skill, category)``.
 
-    Of those in reach and unspent: same victim and category, then category, closest first. An attempt is spent once.
+    Of those in reach, unspent, of the category and not aimed at someone else: those aimed at the victim first, then the closest. An
+    attempt is spent once.
     """
     spent, out = set(), []
     for seq, ts, target, category in sorted(results):
@@ -62,7 +63,7 @@ def credit(results: list[tuple], attempts: list[tuple]) -> list[tuple[int, str,
             dt, di = ts - ats, seq - aseq
             back = dt >= 0 and (dt <= CAST_BACK_S if kind == "cast" else dt <= INSTANT_BACK_S and di <= INSTANT_BACK_ROWS)
             ahead = dt <= 0 and di < 0 and (-dt <= AHEAD_S or any(-di <= r and -dt <= s for r, s in AHEAD_ROWS))
-            if acat == category and (back or ahead) and aseq not in spent:
+            if acat == category and atarget in (None, target) and (back or ahead) and aseq not in spent:
                 rank = (0 if atarget == target else 1, abs(dt), abs(di), aseq)
                 if best is None or rank < best[0]:
                     best = (rank, aseq, actor, skill)
