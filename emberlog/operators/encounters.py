@@ -121,8 +121,3 @@ def impute_amounts(events: DataFrame) -> DataFrame:
     fill = F.col("amount").isNull() & F.col("_g").isNotNull() & F.col("_guess").isNotNull()
     value = F.greatest(F.lit(1).cast("long"), F.bround("_guess", 0).cast("long"))
     return e.withColumn("estimated", F.coalesce(F.col("estimated"), F.lit(False)) | fill).withColumn("amount", F.when(fill, value).otherwise(F.col("amount"))).drop("_g", "_z", "_a", "_s", "_guess")
-
-
-def anchored(times: Column, gap: float) -> Column:
-    """Of sorted times, those more than ``gap`` after the last one kept: a repeat of a repeat does not extend it."""
-    return F.aggregate(times, F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > gap), F.concat(acc, F.array(t))).otherwise(acc))

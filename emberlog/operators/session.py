@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
-from emberlog.operators.encounters import anchored
+from emberlog.functions.groups import spaced
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -60,9 +60,10 @@ def classify_kills(events: DataFrame, party: DataFrame, owners: DataFrame, you:
                .when(in_t, F.when(in_a & ~pet, None).otherwise("death"))
                .when(helper, "kill").otherwise("outsider_death"))
     k = k.withColumn("verdict", verdict)
-    times = F.sort_array(F.collect_set(F.when(F.col("verdict").endswith("death"), F.col("ts"))).over(Window.partitionBy("stream_id", "target")))
-    keep = F.array_contains(anchored(times, gap_s), F.col("ts"))
-    return k.withColumn("verdict", F.when(F.col("verdict").endswith("death") & ~keep, None).otherwise(F.col("verdict"))).select("stream_id", "seq", "ts", "actor", "target", "verdict")
+    died = F.coalesce(F.col("verdict").endswith("death"), F.lit(False))
+    kept = spaced(k.where(died).select("stream_id", "target", "ts"), ["stream_id", "target"], gap_s).select(F.col("stream_id").alias("_ks"), F.col("target").alias("_kt"), F.col("ts").alias("_kts"))
+    k = k.join(kept, died & F.col("stream_id").eqNullSafe(F.col("_ks")) & (F.col("target") == F.col("_kt")) & (F.col("ts") == F.col("_kts")), "left")
+    return k.select("stream_id", "seq", "ts", "actor", "target", F.when(~died | F.col("_kts").isNotNull(), F.col("verdict")).alias("verdict"))
 
 
 def coin_received(events: DataFrame, within_s: float = 5.0) -> DataFrame:

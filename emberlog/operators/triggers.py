@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
-from emberlog.operators.encounters import anchored
+from emberlog.functions.groups import spaced
 
 #: Rules a table may hold: it is broadcast, so its size is checked.
 MOST_RULES = 10_000
@@ -42,8 +42,7 @@ def matches(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
 def cooldown(hits: DataFrame, cooldown_s: float) -> DataFrame:
     """Hits that fire: those more than ``cooldown_s`` after the rule's last fired one."""
-    g = hits.groupBy("stream_id", "rule_id").agg(F.sort_array(F.collect_set("ts")).alias("_t"))
-    return g.select("stream_id", "rule_id", F.explode(anchored(F.col("_t"), cooldown_s)).alias("ts"))
+    return spaced(hits.select("stream_id", "rule_id", "ts"), ["stream_id", "rule_id"], cooldown_s)
 
 
 def quiet_alerts(sightings: DataFrame, keys: list[str], quiet_s: float) -> DataFrame:

@@ -1,5 +1,7 @@
-from emberlog.functions.groups import per_group
-from emberlog.operators import attribution, encounters as E, metrics as M, resolve, roster, triggers
+import random
+
+from emberlog.functions.groups import per_group, spaced
+from emberlog.operators import attribution, encounters as E, metrics as M, resolve, roster, session, triggers
 from emberlog.operators.parse import parse
 
 LINES = [
@@ -82,3 +84,53 @@ def test_long_lines_match_and_long_patterns_do_not(spark):
     lines = spark.createDataFrame([("s", i, 0.0, "x" * (n - 8) + " the end") for i, n in enumerate([2048, 2049, 3000, 8192, 8193])], "stream_id string, seq long, ts double, text string")
     rules = spark.createDataFrame([(1, "contains", "the end", False), (2, "contains", "x" * 2049, False), (3, "exact", "x" * 2040 + " the end", False)], "rule_id long, mode string, pattern string, fuzzy boolean")
     assert sorted((r.seq, r.rule_id) for r in triggers.matches(lines, rules).collect()) == [(0, 1), (0, 3), (1, 1), (2, 1), (3, 1)]
+
+
+def kept_one_by_one(times, gap):
+    kept = []
+    for t in sorted(set(times)):
+        if not kept or t - kept[-1] > gap:
+            kept.append(t)
+    return kept
+
+
+def test_spaced_times_are_those_of_a_walk_through_each_key(spark):
+    draw = random.Random(5)
+    times = {k: [round(draw.uniform(0, reach), 1) for _ in range(n)] for k, n, reach in [("dense", 400, 300.0), ("thin", 40, 9000.0), ("one", 1, 1.0), (None, 30, 200.0)]}
+    times["ties"] = [0.0, 30.0, 30.0, 60.0, 60.1, 90.1, 90.2]
+    rows = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts] + [("dense", None)], "k string, ts double")
+    for gap in (30.0, 0.5):
+        got: dict = {}
+        for r in spaced(rows, ["k"], gap).collect():
+            got.setdefault(r.k, []).append(r.ts)
+        assert {k: sorted(v) for k, v in got.items()} == {k: kept_one_by_one(v, gap) for k, v in times.items()}
+    assert spaced(rows.limit(0), ["k"], 30.0).count() == 0
+
+
+def test_repeated_deaths_count_once_and_every_npc_counts(spark):
+    kill = lambda i, t, who, by="a rat": ("s", i, t, "kill", by, who, None, None, None, False)
+    e = events(spark, [kill(0, 0.0, "Bo"), kill(1, 20.0, "Bo"), kill(2, 40.0, "Bo"), kill(3, 70.5, "Bo"), kill(4, 0.0, "a bat", "You"), kill(5, 0.0, "a bat", "You"), kill(6, 1.0, None)])
+    assert {(r.victim, r.deaths) for r in M.deaths(e, ["stream_id"]).collect()} == {("Bo", 3), ("a bat", 2)}
+    party, none = spark.createDataFrame([("Bo",), ("You",)], "name string"), spark.createDataFrame([], "pet string, owner string")
+    got = session.classify_kills(e.selectExpr("*", "cast(null as string) as text"), party, none).orderBy("seq").collect()
+    assert [r.verdict for r in got] == ["death", None, None, "death", "kill", "kill"]
+
+
+def test_close_spellings_are_those_of_all_pairs(spark):
+    draw = random.Random(7)
+    base = ["".join(draw.choice("abcdel") for _ in range(draw.choice([2, 4, 5, 6, 8, 9, 12, 17, 20]))) for _ in range(40)] + ["aaaaa", "aaaaaaaaaa", "gray wolf pup", "a bat"]
+    names = set(base)
+    for b in base:
+        for _ in range(3):
+            x = list(b)
+            for _ in range(draw.randint(1, 3)):
+                at = draw.randrange(len(x))
+                x[at:at + 1] = draw.choice([[], [draw.choice("abz ")], [x[at], "q"]])
+                x = x or ["a"]
+            names.add("".join(x))
+    n = spark.createDataFrame([(x,) for x in sorted(names)] + [(None,), ("aaaaa",)], "name string")
+    a, b = n.distinct().selectExpr("name as a"), n.distinct().selectExpr("name as b")
+    near = resolve.T.close_spellings(resolve.F.lower("a"), resolve.F.lower("b"))
+    want = {tuple(r) for r in a.crossJoin(b).where("a < b and length(a) > 1 and length(b) > 1 and abs(length(a) - length(b)) <= 3").where(near).collect()}
+    got = [(r.a, r.b) for r in resolve.spelling_pairs(n).collect()]
+    assert len(want) > 40 and len(got) == len(set(got)) and set(got) == want
