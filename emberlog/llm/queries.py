@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, jaccard, lines, media, mixing, neardup, quality, substring, tokenbin, warc
+from emberlog.llm import bpe, fim, jaccard, lines, media, merkle, mixing, neardup, quality, substring, suffixtree, tokenbin, warc
 from emberlog.llm.common import table
 
 
@@ -63,9 +63,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffixtree.tree_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other document's claim is its row without line ends in the text."""
+    docs = table(spark, sf_dir, "documents")
+    row = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    cut = merkle.leaf(*row, F.translate("text", "\n", ""))
+    return merkle.proven(docs, claim=F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, cut).otherwise(merkle.leaf(*row, F.col("text"))))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.rebuilt(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources, "op2_bpe": op2_bpe, "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_media": op6_media,
     "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_token_binary": op9_token_binary, "op10_jaccard_join": op10_jaccard_join,
+    "op11_suffix_tree": op11_suffix_tree, "op12_merkle_manifest": op12_merkle_manifest, "op13_fill_in_middle": op13_fill_in_middle,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL, "op10_jaccard_join": jaccard.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op3_near_duplicates": neardup.SQL, "op5_line_dedup": lines.SQL, "op8_warc": warc.SQL, "op10_jaccard_join": jaccard.SQL,
+       "op12_merkle_manifest": merkle.SQL, "op13_fill_in_middle": fim.SQL}
