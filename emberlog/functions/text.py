@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,9 +76,51 @@ def word_limit(length: Column) -> Column:
 
 
 def close_spellings(a: Column, b: Column) -> Column:
-    """Whether two folded names are spellings of one: word by word within limits, whole where word counts differ."""
+    """Whether two folded names are spellings of one: word by word within limits, whole where word counts differ.
+
+    The first word, or the one behind a common article, may have lost its leading letters: two letters must be left, four behind an article. Marks at a
+    word's ends do not count.
+    """
     total = name_limit(F.least(F.length(a), F.length(b)))
     wa, wb = F.split(a, " "), F.split(b, " ")
-    pairs = F.zip_with(wa, wb, lambda x, y: F.struct(F.levenshtein(x, y).alias("d"), word_limit(F.least(F.length(x), F.length(y))).alias("m")))
-    by_word = F.forall(pairs, lambda p: p["d"] <= p["m"]) & (F.aggregate(pairs, F.lit(0), lambda s, p: s + p["d"]) <= total)
-    return (a == b) | F.when(F.size(wa) == F.size(wb), by_word).otherwise(F.levenshtein(a, b) <= F.least(F.lit(2), total))
+    bare = lambda w: F.regexp_replace(w, "^[^0-9a-z]+|[^0-9a-z]+$", "")
+    article = (wa[0] == wb[0]) & wa[0].isin("a", "an", "the")
+    at, keep = F.when(article, 1).otherwise(0), F.when(article, 4).otherwise(2)
+    pairs = F.zip_with(F.transform(wa, bare), F.transform(wb, bare), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def one(p: Column, i: Column) -> Column:
+        short = F.least(F.length(p["x"]), F.length(p["y"]))
+        d = F.levenshtein(p["x"], p["y"])
+        clipped = (i == at) & (short >= keep) & (F.endswith(p["x"], p["y"]) | F.endswith(p["y"], p["x"]))
+        return F.when(clipped, F.abs(F.length(p["x"]) - F.length(p["y"]))).when(d <= word_limit(short), d)
+
+    used = F.transform(pairs, one)
+    by_word = F.forall(used, lambda d: d.isNotNull()) & (F.aggregate(used, F.lit(0), lambda s, d: s + F.coalesce(d, F.lit(0))) <= total)
+    return (a == b) | F.when(total == 0, F.lit(False)).when(F.size(wa) == F.size(wb), by_word).otherwise(F.levenshtein(a, b) <= F.least(F.lit(2), total))
+
+
+#: Letters that stand for a digit where a word is made of such letters and digits.
+LOOKALIKE = {"i": "1", "l": "1", "o": "0"}
+
+
+def compared(text: Column) -> Column:
+    """A line as it is compared: lower-case words of letters and digits; in words that read as numbers look-alike letters are digits."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['’‘`]", ""), "[^0-9a-z]+", " ")), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[ilo]*[0-9][0-9ilo]*$"), F.translate(w, "ilo", "110")).otherwise(w)), " ")
+
+
+def numbers_of(norm: Column) -> Column:
+    """The numbers of a compared line, one a word, in order; a lone look-alike letter is its digit."""
+    return F.filter(F.transform(F.split(norm, " "), lambda w: F.when(w.isin("i", "l"), "1").when(w == "o", "0").otherwise(F.regexp_replace(w, "[^0-9]", ""))), lambda n: n != "")
+
+
+def numbers_agree(a: Column, b: Column) -> Column:
+    """Whether the digits of two compared lines are equal, or one has none."""
+    x, y = F.array_join(numbers_of(a), ""), F.array_join(numbers_of(b), "")
+    return (x == y) | (x == "") | (y == "")
+
+
+def same_numbers(a: str, b: str) -> bool:
+    """``numbers_agree`` of two texts."""
+    x, y = ("".join(LOOKALIKE.get(w) or re.sub("[^0-9]", "", w) for w in s.split()) for s in (a, b))
+    return x == y or not x or not y

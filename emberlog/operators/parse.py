@@ -197,69 +197,3 @@ def _events(s: DataFrame, player: str) -> DataFrame:
     return s.select("stream_id", "seq", "ts", "kind", "text", actor.alias("actor"), target.alias("target"), amount.alias("amount"), skill.alias("skill"), F.when(F.col("_dtype").rlike("^(?:[Cc]arnage|dam\\w?[ a-z]?e?)$"), "damage").otherwise(F.col("_dtype")).alias("dtype"), outcome.alias("outcome"),
                     bare.alias("raw_actor"), absorbed.alias("absorbed"), blocked.alias("blocked"), F.col("_weapon").alias("weapon"), "is_pet", "estimated", F.lit(False).alias("estimated_ts"),
                     named(F.col("_item")).alias("item"), copper.alias("copper"), share.alias("split_copper"))
-
-
-# A word that a new message can begin with: the viewer, an ability's owner, a name or creature before one of these verbs.
-_BEGIN_VERBS = "hits|slashes|crushes|pierces|punches|kicks|bashes|bites|claws|mauls|stings|begins|tries|has|have|loots|crafts|heals|is|looks|loses|staggers|casts|resists|awakens"
-BEGINS = rf"^(?:Your?\b|--|Starting to attack|Stopped attacking|[A-Z][\w'-]*(?:'s [A-Z]| (?:{_BEGIN_VERBS})\b)|(?:an?|the)(?: [A-Za-z'-]+){{1,4}}? (?:{_BEGIN_VERBS})\b|(?:an?|the)(?: [A-Za-z-]+){{1,4}}?'s [A-Z])"
-#: Where a new message begins whatever stands before it.
-FORCED = r"(?<=\S) (?=[Yy]?ou [gz]ain (?:party )?e[xk]perience\b)|(?<=[a-z][lI1|]) (?=(?:Stopped attacking|Starting to attack|You gain)\b)"
-
-
-def starts_message(text: Column) -> Column:
-    """Whether a text reads like the start of a message, so that it does not continue a line before it."""
-    return F.coalesce(F.trim(F.translate(text, "’‘", "''")).rlike(BEGINS), F.lit(False))
-
-
-def looks_fused(e: DataFrame) -> Column:
-    """Whether an event's fields hold a second message: verbs or numbers in an ability's name, long names, a long type of damage."""
-    long = lambda c, n: F.size(F.split(c, " ")) > n
-    skill = e["kind"].isin(*SKILLED) & (e["skill"].rlike(r"\b(?:hits?|heals?|slain|points?|loots?|begins?)\b|\bfor \d+") | long(e["skill"], 5))
-    name = lambda c: c.rlike(r"\b(?:hits?|heals?|looks|has|have|begins?|tries|slashes|crushes|pierces|kicks|bites|loots)\b") | long(c, 5)
-    return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in (skill, name(e["actor"]), name(e["target"]), long(e["dtype"], 3))])
-
-
-def _pieces(texts: DataFrame, player: str) -> DataFrame:
-    """``texts(stream_id, seq, part, text)`` with ``cut``: the place of the first space behind which a message begins and before which one is whole.
-
-    Each candidate place is a row, both sides are parsed, and the first good one stays; texts that are read well are not looked at.
-    """
-    whole = parse(texts.select(F.struct("stream_id", "seq", "part").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("ts"), "text"), player)
-    odd = (whole["kind"].isin("unknown", "ability_partial") | looks_fused(whole)) & (whole["kind"] != "chat")
-    seen = whole.select(F.col("stream_id").alias("key"), "text", odd.alias("odd"), (F.col("kind") == "chat").alias("said"))
-    words = F.split("text", " ")
-    places = F.sequence(F.lit(1), F.size(words) - 1)
-    side = seen.where("odd and instr(text, ' ') > 0 and not text like 'GUILD MOTD%'").select("key", "text", F.explode(places).alias("at"), words.alias("w"))
-    side = side.select("key", "at", F.array_join(F.expr("slice(w, 1, at)"), " ").alias("left"), F.array_join(F.expr("slice(w, at + 1, size(w))"), " ").alias("right")).where((F.length("left") >= 12) & starts_message(F.col("right")))
-    both = side.select("key", "at", "left", "right", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("left").alias("t")), F.struct(F.lit(1).alias("i"), F.col("right").alias("t")))).alias("x"))
-    read = parse(both.select(F.struct("key", "at", "left", "right").alias("stream_id"), F.col("x.i").cast("long").alias("seq"), F.lit(0.0).alias("ts"), F.col("x.t").alias("text")), player)
-    clean = ~read["kind"].isin("unknown", "marker", "ability_partial") & ~looks_fused(read)
-    g = read.select("stream_id.*", "seq", clean.alias("ok"), F.col("kind").alias("kind")).groupBy("key", "at", "left", "right").agg(F.max(F.when(F.col("seq") == 0, F.col("ok"))).alias("l"), F.max(F.when(F.col("seq") == 1, F.col("ok"))).alias("r"), F.max(F.when(F.col("seq") == 0, F.col("kind"))).alias("kind"))
-    trusted = F.col("right").rlike(r"^(?:(?:an?|the) |Your?\b|--|[A-Z][\w'-]*'s )") & ~F.col("left").rlike(r"s'?$|'s$") | F.col("right").rlike(r"^-*[A-Z][\w'-]* loots? ")
-    good = g.where(F.col("l") | (F.col("r") & trusted & (F.size(F.split("left", " ")) >= 4)))
-    # a whole consideration has sentences of its own, so its longest one wins; else the first cut does
-    best = good.groupBy("key").agg(F.max(F.when(F.col("l") & (F.col("kind") == "consider"), F.col("at"))).alias("c"), F.min("at").alias("a")).select("key", F.coalesce("c", "a").alias("cut"))
-    return texts.withColumn("key", F.struct("stream_id", "seq", "part")).join(best, "key", "left").drop("key")
-
-
-def split_fused(lines: DataFrame, player: str = "You", depth: int = 2) -> DataFrame:
-    """``lines(stream_id, seq, ts, text)`` with ``part``: messages that were run together, apart and in order.
-
-    Experience lines and attack toggles always begin a message. Other lines are cut only if they read badly, at most ``depth`` times, and
-    only these lines are parsed for it. Chat and guild notices stay whole; a null text stays null.
-    """
-    pieces = F.split(F.col("text"), FORCED)
-    said = F.col("text").rlike(r"^(?:GUILD MOTD|.{1,60}? (?:says?|sav) ?[,.:;] ?[\"'])")
-    rows = lines.select("stream_id", "seq", "ts", F.posexplode_outer(F.when(F.coalesce(said, F.lit(False)), F.array("text")).otherwise(pieces)).alias("p", "text")).select("stream_id", "seq", "ts", F.array(F.coalesce("p", F.lit(0))).alias("part"), "text")
-    done = None
-    for _ in range(depth):
-        cut = _pieces(rows.where("text is not null").select("stream_id", "seq", "part", "text"), player)
-        j = rows.join(cut.select("stream_id", "seq", "part", "cut"), ["stream_id", "seq", "part"], "left")
-        w = F.split("text", " ")
-        left = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(w, F.lit(1), F.col("cut")), " "))
-        right = F.array_join(F.slice(w, F.col("cut") + 1, F.size(w)), " ")
-        j = j.withColumn("_l", left).withColumn("_r", F.when(F.col("cut").isNotNull(), right))
-        kept = j.select("stream_id", "seq", "ts", F.array_append("part", F.lit(0)).alias("part"), F.col("_l").alias("text"))
-        done = kept if done is None else done.union(kept)
-        rows = j.where("_r is not null").select("stream_id", "seq", "ts", F.array_append("part", F.lit(1)).alias("part"), F.col("_r").alias("text"))
-    return done.union(rows).select("stream_id", "seq", "ts", F.array_join(F.transform("part", lambda x: x.cast("string")), ".").alias("part"), "text")

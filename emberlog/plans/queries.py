@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import html as H
 from emberlog.functions import text as T
-from emberlog.operators import attribution, boards, encounters as E, metrics as M, replay, resolve, roster, session as S, triggers as R
-from emberlog.operators.parse import parse, split_fused
+from emberlog.operators import attribution, boards, encounters as E, metrics as M, resolve, roster, session as S, triggers as R
+from emberlog.operators.parse import parse
 from emberlog.plans.samples import SAMPLES, values
 
 QUERIES: dict = {}
@@ -126,20 +126,6 @@ def parse_all_kinds(spark, sf_dir):
     return parse(all_lines(spark, sf_dir)).select("stream_id", "seq", "kind", "actor", "target", "amount", "skill", "outcome")
 
 
-#: SQL of ``fused_lines``, which is not registered: it did not end within a minute on 1,000 rows.
-FUSED_SQL = ("WITH " + EV + ", c AS (SELECT * FROM ev WHERE kind = 'melee_hit'), n AS (SELECT stream_id, seq, 0 AS part, actor, amount FROM c UNION ALL SELECT stream_id, seq, 1, target, amount + 1 FROM c) "
-       "SELECT stream_id, seq, CAST(part AS BIGINT) AS part, actor, amount FROM n")
-
-
-def fused_lines(spark, sf_dir):
-    """Two hits run together, the first without its end: each keeps its own number."""
-    a = activity(spark, sf_dir).where("kind = 'melee_hit'")
-    line = F.concat("actor", F.lit("'s Amber Lance hits a wolf for "), F.col("amount").cast("string"), F.lit(" points of Ho "), "target", F.lit(" hits Bo for "), (F.col("amount") + 1).cast("string"), F.lit(" points of damage."))
-    parts = split_fused(a.select("stream_id", "seq", "ts", line.alias("text")))
-    e = parse(parts.select(F.struct("stream_id", "seq").alias("stream_id"), F.row_number().over(Window.partitionBy("stream_id", "seq").orderBy("part")).cast("long").alias("seq"), "ts", "text"))
-    return e.select("stream_id.stream_id", F.col("stream_id.seq").alias("seq"), (F.col("seq") - 1).alias("part"), "actor", "amount")
-
-
 @query("WITH " + EV + " SELECT kind, count(*) AS n FROM ev GROUP BY kind")
 def kind_counts(spark, sf_dir):
     return M.kind_counts(parse(rendered(spark, sf_dir)))
@@ -353,11 +339,6 @@ def spelling_neighbours(spark, sf_dir):
     return resolve.spelling_pairs(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query()
-def canonical_names(spark, sf_dir):
-    return resolve.canonical_names(E.encounter_rows(assigned(spark, sf_dir)), M.ENC)
-
-
 @query()
 def sides(spark, sf_dir):
     return M.sides(E.encounter_rows(assigned(spark, sf_dir)), you="Pb")
@@ -458,16 +439,6 @@ def swing_delay(spark, sf_dir):
     return R.swing_delay(activity(spark, sf_dir).where("kind = 'melee_hit'"), ["stream_id"], 60.0, 20000.0)
 
 
-@query("""WITH n AS (SELECT doc_id AS stream_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM documents WHERE text IS NOT NULL),
-k AS (SELECT stream_id, seq, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS i, translate(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 'oli', '011') AS k FROM n),
-m AS (SELECT *, lag(i) OVER (PARTITION BY stream_id, k ORDER BY i) AS pi, lag(seq) OVER (PARTITION BY stream_id, k ORDER BY i) AS ps FROM k WHERE k <> ''),
-q AS (SELECT *, i - pi AS lg FROM m WHERE i - pi <= 40), s AS (SELECT *, i - row_number() OVER (PARTITION BY stream_id, lg ORDER BY i) AS isle FROM q)
-SELECT stream_id, CAST(min(seq) AS BIGINT) AS start, CAST(max(seq) AS BIGINT) AS stop, CAST(min(ps) AS BIGINT) AS shown_at, count(*) AS n FROM s GROUP BY stream_id, lg, isle HAVING count(*) >= 2""")
-def find_replays(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
-    return replay.replays(d.select("stream_id", (F.col("p") + 1).cast("long").alias("seq"), (F.col("p") * 1000.0).alias("ts"), "text"), 2)
-
-
 @query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '') AS title, len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1, 'i')) AS n_links,
   len(regexp_extract_all(html, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'is')) AS n_headings FROM pages""")
 def html_extract(spark, sf_dir):

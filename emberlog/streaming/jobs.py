@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog.config import ACTIVITY, DAMAGE
+from emberlog.operators.frames import FrameState
 from emberlog.operators.parse import parse
 
 #: How far a row may lie behind the newest one of its stream.
@@ -115,6 +116,25 @@ def cooldown(hits: DataFrame, cooldown_s: float) -> DataFrame:
         run, "stream_id string, rule_id long, ts double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def seen_messages(rows: DataFrame, least_frames: int = 2) -> DataFrame:
+    """``(stream_id, place, ts, text, frames)`` of visual rows ``(stream_id, frame, t, row, text, norm)``, as messages leave the window.
+
+    The rules are those of ``frames.messages``; frames of a stream arrive in order. The state is the last frame and the readings of what it shows.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = FrameState.load(state.get[0]) if state.exists else FrameState()
+        shown: dict[int, tuple[float, list]] = {}
+        for b in batches:
+            for frame, t, row, text, norm in b[["frame", "t", "row", "text", "norm"]].itertuples(index=False, name=None):
+                shown.setdefault(frame, (t, []))[1].append((row, text, norm))
+        done = [m for f in sorted(shown) for m in s.see(shown[f][0], [x[1:] for x in sorted(shown[f][1])])]
+        state.update((s.dump(),))
+        out = pd.DataFrame([(key[0], p, t, x, n) for p, x, t, n in done if n >= least_frames], columns=["stream_id", "place", "ts", "text", "frames"])
+        yield out
+
+    return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, place long, ts double, text string, frames long", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def first_fragments(fragments: DataFrame, within: str = "6 hours") -> DataFrame:
     """Chat fragments ``(sender, code, time)`` without those seen within ``within``."""
     return fragments.withWatermark("time", within).dropDuplicatesWithinWatermark(["sender", "code"])
