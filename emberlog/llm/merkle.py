@@ -210,6 +210,7 @@ def manifest(df: DataFrame, *, group: str = "source", order: str = "doc_id", fie
     digest = leaf(*(F.col(f"`{c}`") for c in fields))
     rows = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{order}`").cast("long").alias("id"), digest.alias("digest"),
                      (digest if claim is None else claim).alias("claim"))
+    rows = written(rows, "leaves", scratch)
     rounds = forest(ranked(rows, "g", ["id", "digest"], scratch), scratch)
     subroots = roots(rounds).select(F.lit("").alias("all"), F.col("g").alias("name"), F.col("root").alias("digest"))
     placed = written(ranked(subroots, "all", ["name"], scratch), "subroots", scratch)
