@@ -29,7 +29,7 @@ def brute_tree(rows, depth, least):
                 counts[k][tuple(w[i - k:i])][x] += not held
     root = counts[0][()]
     total, distinct = sum(root.values()), sum(v > 0 for v in root.values())
-    prior = {}
+    prior, weight = {}, lambda n: 4.0 * n ** 0.8
 
     def p(context, x):
         if not context:
@@ -44,9 +44,9 @@ def brute_tree(rows, depth, least):
         for context, c in counts[k].items():
             n = sum(c.values())
             if n >= least:
-                gain = [sum(m * math.log((m - 1 + w * p(context[1:], x)) / ((n - 1 + w) * p(context[1:], x))) for x, m in c.items() if m) for w in suffixtree.WEIGHTS]
-                if max(gain) > suffixtree.GAIN:
-                    prior[context] = suffixtree.WEIGHTS[gain.index(max(gain))]
+                w = weight(n - 1)
+                if sum(m * math.log((m - 1 + w * p(context[1:], x)) / ((n - 1 + w) * p(context[1:], x))) for x, m in c.items() if m) > suffixtree.GAIN:
+                    prior[context] = weight(n)
     out = []
     for _, text in rows:
         w = words(text)
@@ -65,13 +65,13 @@ def texts(seed, n):
         yield r.choice([" ", "\n", "\t  "]).join(out)
 
 
-@pytest.mark.parametrize("chunk,depth", [(40, 2), (1 << 21, 2), (70, 3)])
-def test_tree_scores_equal_brute_force(spark, chunk, depth):
+@pytest.mark.parametrize("chunk,depth,least", [(40, 2, 2), (1 << 21, 2, 8), (70, 3, 2)])
+def test_tree_scores_equal_brute_force(spark, chunk, depth, least):
     rows = [(i, i % 5 == 1, t) for i, t in enumerate([*texts(3, 120), "", None, "  A a\x0b\x0c", "É é nie", "a b c", "a b c"])]
-    want, total, prior = brute_tree([(h, t) for _, h, t in rows], depth, 8)
+    want, total, prior = brute_tree([(h, t) for _, h, t in rows], depth, least)
     assert {len(c) for c in prior} >= {1, 2}
     df = spark.createDataFrame(rows, "doc_id long, h boolean, text string").withColumn("held", F.lit(1)).withColumn("chunk", F.lit("x"))
-    got = {r.doc_id: r for r in suffixtree.tree_scores(df, F.col("h"), depth=depth, least=8, chunk=chunk).collect()}
+    got = {r.doc_id: r for r in suffixtree.tree_scores(df, F.col("h"), depth=depth, least=least, chunk=chunk).collect()}
     assert len(got) == len(rows)
     for (i, h, t), (base, score, known) in zip(rows, want):
         g = got[i]
