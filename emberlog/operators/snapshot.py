@@ -20,7 +20,7 @@ from emberlog.operators.metrics import ENC, sides
 #: Kinds that show who met whom.
 MET = ("melee_hit", "melee_miss", "ability_hit", "ability_miss", "resist", "kill")
 #: Notices within this of a taunt of the same holder on the same foe are the taunt's own (seconds); a player's deaths within this are one.
-TAUNT_S, DEATH_S = 8.0, 30.0
+TAUNT_S, DEATH_S = 3.0, 30.0
 NUMBERS = ("n", "misses", "total", "best", "prevented", "estimated", "melee", "first", "last")
 SUMMED = ("n", "misses", "total", "prevented", "estimated", "melee")
 

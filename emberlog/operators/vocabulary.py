@@ -27,6 +27,8 @@ NAME_KINDS = ("melee_hit", "melee_miss", "ability_hit", "ability_partial", "abil
 COUNT_TIMES, WORD_TIMES, SURE, CUT_OFF = 2, 4, 10, 0.02
 SENTENCE_WORDS = ("a", "an", "the", "this", "that", "there", "someone", "something", "starting", "stopped", "beginning", "entering", "loading", "welcome")
 LEAST, TOP = 2, 5000
+#: A creature's name as a whole: no word of it, the last neither, is one that follows names in sentences.
+WHOLE_BEAST = M.BEAST.replace(") )", ")(?: |$))").removesuffix("?")
 
 
 @F.pandas_udf(StringType())
@@ -49,7 +51,7 @@ def folded(name: Column) -> Column:
 
 def could_be_name(category: Column, name: Column) -> Column:
     """Whether a player's or creature's name has the shape of one, holds no word for the viewer and is not a word that only begins sentences. Other categories always."""
-    shape = F.when(category == "npc", name.rlike(rf"^{M.BEAST.replace('}?', '}')}$")).otherwise(name.rlike(rf"^{M.PLAYER}$"))
+    shape = F.when(category == "npc", name.rlike(f"^{WHOLE_BEAST}$")).otherwise(name.rlike(rf"^{M.PLAYER}$"))
     words = F.split(F.lower(name), " ")
     you = F.arrays_overlap(words, F.array(*map(F.lit, sorted({w.lower() for w in T.YOU}))))
     alone = (F.size(words) == 1) & words[0].isin(*SENTENCE_WORDS)

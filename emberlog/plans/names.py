@@ -25,15 +25,14 @@ def canonical_names(spark, sf_dir):
     return resolve.canonical_names(E.encounter_rows(E.assign_encounters(a, TIMEOUT)), M.ENC, known.differ)
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, lower(n_name) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey),
-r AS (SELECT base, CASE WHEN k % 11 = 3 THEN substr(base, 1, CAST(k % length(base) AS INT)) || 'x' || substr(base, CAST(k % length(base) AS INT) + 2) ELSE base END AS name FROM c),
-n AS (SELECT name, min(base) AS base, count(*) AS n FROM r GROUP BY name HAVING count(*) >= 2)
-SELECT 'item' AS category, name, n, CASE WHEN length(base) >= 5 THEN base ELSE name END AS canonical FROM n""")
+@query("""WITH c AS (SELECT c_custkey AS k, translate(substr(md5(CAST(c_custkey % 40 AS VARCHAR)), 1, 12), '0123456789', 'ghijklmnop') AS base FROM customer),
+r AS (SELECT base, CASE WHEN k % 11 = 3 THEN substr(base, 1, CAST(k % 12 AS INT)) || 'x' || substr(base, CAST(k % 12 AS INT) + 2) ELSE base END AS name FROM c)
+SELECT 'item' AS category, name, count(*) AS n, min(base) AS canonical FROM r GROUP BY name HAVING count(*) >= 2""")
 def vocabulary_clusters(spark, sf_dir):
-    """Every eleventh reading of a nation's name has one wrong letter; readings of one name are one group where it is long enough."""
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.lower("n_name").alias("base"))
-    at = (F.col("k") % F.length("base")).cast("int")
-    wrong = F.concat(F.expr("substring(base, 1, cast(k % length(base) as int))"), F.lit("x"), F.substr("base", at + 2))
+    """Forty names of twelve letters, far from each other. Every eleventh reading has one wrong letter; the readings of a name are one group."""
+    name = F.translate(F.substring(F.md5((F.col("c_custkey") % 40).cast("string").cast("binary")), 1, 12), "0123456789", "ghijklmnop")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), name.alias("base"))
+    wrong = F.concat(F.expr("substring(base, 1, cast(k % 12 as int))"), F.lit("x"), F.expr("substring(base, cast(k % 12 as int) + 2, 12)"))
     read = c.select(F.lit("item").alias("category"), F.when(F.col("k") % 11 == 3, wrong).otherwise(F.col("base")).alias("name"))
     counts = read.groupBy("category", "name").agg(F.count("*").alias("n"))
     return V.spellings(V.kept(counts)).select("category", "name", "n", "canonical")

@@ -344,15 +344,6 @@ def sides(spark, sf_dir):
     return M.sides(E.encounter_rows(assigned(spark, sf_dir)), you="Pb")
 
 
-@query()
-def cc_credit(spark, sf_dir):
-    a = assigned(spark, sf_dir).where("enc is not null")
-    cc = (F.col("kind") == "melee_miss").cast("boolean")
-    a = a.select(*M.ENC, "seq", "ts", F.when(cc, "cc").when(F.col("kind") == "ability_hit", "ability_hit").otherwise("cast").alias("kind"), "actor", "target", "skill", F.when(cc, F.lit("stun")).alias("outcome"))
-    skills = a.select("skill").distinct().withColumn("category", F.lit("stun"))
-    return attribution.control_credit(a, skills, M.ENC)
-
-
 @query("WITH " + EV + """, d AS (SELECT * FROM ev WHERE kind = 'melee_miss'), a AS (SELECT * FROM ev WHERE kind IN ('ability_hit', 'heal')),
 j AS (SELECT d.stream_id, d.seq, a.actor, a.skill, d.ts - a.ts AS dt, d.seq - a.seq AS di, a.seq AS aseq, CASE WHEN a.skill = 'skill1' AND a.target = d.target THEN 0 WHEN a.skill = 'skill1' THEN 1 WHEN a.kind = 'ability_hit' AND a.target = d.target THEN 2 END AS tier,
   CASE WHEN a.skill = 'skill1' THEN 0 ELSE 1048576 END AS r FROM d JOIN a ON d.stream_id = a.stream_id AND d.ts - a.ts <= 6.5 AND d.ts - a.ts >= -10
