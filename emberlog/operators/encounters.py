@@ -78,14 +78,17 @@ def attach_prefight(assigned: DataFrame, within_s: float = 20.0, rows: int = 20)
 
 
 def fold_markers(events: DataFrame) -> DataFrame:
-    """Damage rows with the absorbed and blocked amounts of the marker rows that follow them added; marker rows go."""
+    """Damage rows with the absorbed and blocked amounts and the critical mark of the marker rows that follow them; marker rows go."""
     w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(START, 0)
     e = events.withColumn("_hit", F.last(F.when(F.col("kind").isin(*DAMAGE), F.col("seq")), True).over(w))
+    marked = F.coalesce(F.col("outcome") == "critical", F.lit(False)) if "outcome" in events.columns else F.lit(False)
     extra = e.where((F.col("kind") == "marker") & F.col("_hit").isNotNull()).groupBy("stream_id", F.col("_hit").alias("seq")).agg(
-        F.sum("absorbed").alias("_a"), F.sum("blocked").alias("_b"))
+        F.sum("absorbed").alias("_a"), F.sum("blocked").alias("_b"), F.bool_or(marked).alias("_c"))
     plus = lambda c, m: F.when(F.col(c).isNull() & F.col(m).isNull(), None).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(m, F.lit(0)))
     out = e.where("kind <> 'marker'").drop("_hit").join(extra, ["stream_id", "seq"], "left")
-    return out.withColumn("absorbed", plus("absorbed", "_a")).withColumn("blocked", plus("blocked", "_b")).drop("_a", "_b")
+    if "outcome" in events.columns:
+        out = out.withColumn("outcome", F.when(F.coalesce("_c", F.lit(False)), "critical").otherwise(F.col("outcome")))
+    return out.withColumn("absorbed", plus("absorbed", "_a")).withColumn("blocked", plus("blocked", "_b")).drop("_a", "_b", "_c")
 
 
 def zone_visits(events: DataFrame) -> DataFrame:

@@ -157,11 +157,12 @@ def skill_breakdown(spark, sf_dir):
     return M.skill_table(E.encounter_rows(assigned(spark, sf_dir)))
 
 
-@query("WITH " + ENC + """ SELECT stream_id, zone_epoch, enc, target, actor || ': ' || skill AS source, CAST(sum(amount) AS BIGINT) AS taken, CAST(0 AS BIGINT) AS prevented, count(*) AS n
+@query("WITH " + ENC + """ SELECT stream_id, zone_epoch, enc, target, actor || ': ' || skill AS source, CAST(sum(amount) AS BIGINT) AS taken,
+  CAST(sum(CASE WHEN seq % 5 = 0 THEN amount % 10 ELSE 0 END + CASE WHEN seq % 7 = 0 THEN 3 ELSE 0 END) AS BIGINT) AS prevented, count(*) AS n
   FROM r WHERE kind IN ('melee_hit', 'ability_hit') GROUP BY ALL""")
 def taken_from(spark, sf_dir):
-    none = F.lit(None).cast("long")
-    return M.taken_table(E.encounter_rows(assigned(spark, sf_dir)).withColumn("absorbed", none).withColumn("blocked", none))
+    absorbed, blocked = F.when(F.col("seq") % 5 == 0, F.col("amount") % 10), F.when(F.col("seq") % 7 == 0, F.lit(3)).cast("long")
+    return M.taken_table(E.encounter_rows(assigned(spark, sf_dir)).withColumn("absorbed", absorbed).withColumn("blocked", blocked))
 
 
 @query("WITH " + ENC + " SELECT stream_id, zone_epoch, enc, actor, target, CAST(sum(amount) AS BIGINT) AS healed, max(amount) AS max_heal, count(*) AS n FROM r WHERE kind = 'heal' GROUP BY ALL")
@@ -198,12 +199,13 @@ def prefight_attach(spark, sf_dir):
 
 @query("WITH " + EV + """, m AS (SELECT *, CASE WHEN kind = 'heal' THEN amount END AS extra,
   last_value(CASE WHEN kind IN ('melee_hit', 'ability_hit') THEN seq END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hit FROM ev),
-x AS (SELECT stream_id, hit, CAST(sum(extra) AS BIGINT) AS absorbed FROM m WHERE kind = 'heal' AND hit IS NOT NULL GROUP BY ALL)
-SELECT e.stream_id, e.seq, e.kind, x.absorbed FROM ev e LEFT JOIN x ON e.stream_id = x.stream_id AND e.seq = x.hit WHERE kind <> 'heal'""")
+x AS (SELECT stream_id, hit, CAST(sum(extra) AS BIGINT) AS absorbed, bool_or(seq % 3 = 0) AS crit FROM m WHERE kind = 'heal' AND hit IS NOT NULL GROUP BY ALL)
+SELECT e.stream_id, e.seq, e.kind, x.absorbed, CASE WHEN x.crit THEN 'critical' WHEN kind IN ('melee_hit', 'ability_hit') THEN 'hit' END AS outcome FROM ev e LEFT JOIN x ON e.stream_id = x.stream_id AND e.seq = x.hit WHERE kind <> 'heal'""")
 def marker_foldback(spark, sf_dir):
     a = activity(spark, sf_dir)
     a = a.withColumn("absorbed", F.when(F.col("kind") == "heal", F.col("amount"))).withColumn("blocked", F.lit(None).cast("long"))
-    return E.fold_markers(a.withColumn("kind", F.when(F.col("kind") == "heal", "marker").otherwise(F.col("kind")))).select("stream_id", "seq", "kind", "absorbed")
+    a = a.withColumn("outcome", F.when(F.col("kind").isin("melee_hit", "ability_hit"), "hit").when((F.col("kind") == "heal") & (F.col("seq") % 3 == 0), "critical"))
+    return E.fold_markers(a.withColumn("kind", F.when(F.col("kind") == "heal", "marker").otherwise(F.col("kind")))).select("stream_id", "seq", "kind", "absorbed", "outcome")
 
 
 @query("WITH " + EV + """, g AS (SELECT *, CASE WHEN kind = 'heal' THEN 'heal' WHEN kind IN ('melee_hit', 'ability_hit') THEN 'damage' END AS g, CASE WHEN seq % 5 = 0 THEN NULL ELSE amount END AS v,
@@ -279,11 +281,17 @@ def privacy_role_avg(spark, sf_dir):
     return M.role_averages(actor_table(spark, sf_dir), "Pa")
 
 
-@query("WITH " + EV + """ SELECT stream_id, count(*) AS events, count(*) FILTER (WHERE kind = 'melee_miss') AS items, CAST(0 AS BIGINT) AS coin_total, count(*) FILTER (WHERE kind = 'heal') AS kills, CAST(0 AS BIGINT) AS cc,
-  CAST(0 AS BIGINT) AS harvests, CAST(coalesce(sum(amount) FILTER (WHERE kind = 'ability_hit'), 0) AS BIGINT) AS crafts, CAST(0 AS BIGINT) AS xp_ticks, count(*) FILTER (WHERE kind = 'zone') AS zones FROM ev GROUP BY stream_id""")
+@query("WITH " + EV + """, k AS (SELECT *, CASE kind WHEN 'melee_miss' THEN CASE seq % 3 WHEN 0 THEN 'loot' WHEN 1 THEN 'harvest' ELSE 'experience' END WHEN 'melee_hit' THEN CASE seq % 2 WHEN 0 THEN 'coin' ELSE 'cc' END
+  WHEN 'heal' THEN 'kill' WHEN 'ability_hit' THEN 'craft' ELSE kind END AS did FROM ev)
+SELECT stream_id, count(*) AS events, count(*) FILTER (WHERE did = 'loot') AS items, CAST(coalesce(sum(amount) FILTER (WHERE did = 'coin'), 0) AS BIGINT) AS coin_total, count(*) FILTER (WHERE did = 'kill') AS kills,
+  count(*) FILTER (WHERE did = 'cc') AS cc, count(*) FILTER (WHERE did = 'harvest' AND seq % 2 = 0) AS harvests, CAST(coalesce(sum(amount) FILTER (WHERE did = 'craft'), 0) AS BIGINT) AS crafts,
+  count(*) FILTER (WHERE did = 'experience') AS xp_ticks, count(*) FILTER (WHERE did = 'zone') AS zones FROM k GROUP BY stream_id""")
 def session_counters(spark, sf_dir):
-    kind = F.when(F.col("kind") == "melee_miss", "loot").when(F.col("kind") == "heal", "kill").when(F.col("kind") == "ability_hit", "craft").otherwise(F.col("kind"))
-    return S.counters(activity(spark, sf_dir).withColumn("kind", kind).withColumn("copper", F.lit(None).cast("long")))
+    k, n = F.col("kind"), F.col("seq")
+    did = (F.when(k == "melee_miss", F.when(n % 3 == 0, "loot").when(n % 3 == 1, "harvest").otherwise("experience")).when(k == "melee_hit", F.when(n % 2 == 0, "coin").otherwise("cc"))
+           .when(k == "heal", "kill").when(k == "ability_hit", "craft").otherwise(k))
+    a = activity(spark, sf_dir).withColumn("actor", F.when((did == "harvest") & (n % 2 == 0), "You").otherwise(F.col("actor"))).withColumn("copper", F.when(did == "coin", F.col("amount")))
+    return S.counters(a.withColumn("kind", did))
 
 
 @query("WITH " + EV + ", g AS (SELECT stream_id, skill AS name, count(*) AS n FROM ev WHERE kind = 'melee_miss' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY n DESC, name) AS rank FROM g")
@@ -344,7 +352,8 @@ def sides(spark, sf_dir):
     return M.sides(E.encounter_rows(assigned(spark, sf_dir)), you="Pb")
 
 
-@query("WITH " + EV + """, d AS (SELECT * FROM ev WHERE kind = 'melee_miss'), a AS (SELECT * FROM ev WHERE kind IN ('ability_hit', 'heal')),
+@query("WITH " + EV + """, lv AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS seq, row_number() OVER (PARTITION BY stream_id ORDER BY seq) * CAST(0.5 AS DOUBLE) AS ts, kind, actor, target, skill FROM ev),
+d AS (SELECT * FROM lv WHERE kind = 'melee_miss'), a AS (SELECT * FROM lv WHERE kind IN ('ability_hit', 'heal')),
 j AS (SELECT d.stream_id, d.seq, a.actor, a.skill, d.ts - a.ts AS dt, d.seq - a.seq AS di, a.seq AS aseq, CASE WHEN a.skill = 'skill1' AND a.target = d.target THEN 0 WHEN a.skill = 'skill1' THEN 1 WHEN a.kind = 'ability_hit' AND a.target = d.target THEN 2 END AS tier,
   CASE WHEN a.skill = 'skill1' THEN 0 ELSE 1048576 END AS r FROM d JOIN a ON d.stream_id = a.stream_id AND d.ts - a.ts <= 6.5 AND d.ts - a.ts >= -10
   WHERE CASE WHEN a.kind = 'heal' THEN d.ts >= a.ts ELSE d.ts - a.ts BETWEEN 0 AND 1.5 AND d.seq - a.seq <= 4 END
@@ -352,7 +361,8 @@ j AS (SELECT d.stream_id, d.seq, a.actor, a.skill, d.ts - a.ts AS dt, d.seq - a.
 k AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY tier, r, abs(dt), abs(di), aseq) AS rn FROM j WHERE tier IS NOT NULL)
 SELECT stream_id, seq, actor, skill, tier FROM k WHERE rn = 1""")
 def debuff_credit(spark, sf_dir):
-    a = activity(spark, sf_dir)
+    a = activity(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")).cast("long"))
+    a = a.withColumn("ts", F.col("seq") * 0.5)
     kind = F.when(F.col("kind") == "melee_miss", "debuff").when(F.col("kind") == "heal", "cast").when(F.col("kind") == "ability_hit", "ability_hit")
     a = a.withColumn("outcome", F.when(F.col("kind") == "melee_miss", "slowed")).withColumn("kind", kind).where("kind is not null")
     hints = spark.createDataFrame([("slowed", "skill1", 0)], "outcome string, skill string, rank int")
@@ -380,7 +390,7 @@ def personal_best(spark, sf_dir):
     return boards.personal_bests(e, "user_id", ["amount", "k"], "event_id")
 
 
-@query("""WITH f AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM conversations WHERE length(text) <= 2048),
+@query("""WITH f AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM conversations WHERE length(text) <= 8192),
 r AS (SELECT item_id, trim(regexp_replace(lower(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2]), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS p FROM benchmark)
 SELECT conv_id, turn, item_id AS rule_id FROM f JOIN r ON p <> '' AND contains(t, ' ' || p || ' ')""")
 def trigger_contains(spark, sf_dir):
@@ -437,10 +447,11 @@ def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.title(h).alias("title"), F.size(H.links(h)).cast("long").alias("n_links"), F.size(H.headings(h)).cast("long").alias("n_headings"))
 
 
-@query("""SELECT l.user_id, count(*) AS n FROM events l WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = l.user_id) GROUP BY l.user_id""")
+@query("""SELECT l.user_id, count(*) AS n FROM events l WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = l.user_id AND c.c_acctbal >= 0) GROUP BY l.user_id""")
 def archive_orphans(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "k")
-    return boards.orphans(e, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k").groupBy(F.col("k").alias("user_id")).agg(F.count("*").alias("n"))
+    parents = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"))
+    return boards.orphans(e, parents, "k").groupBy(F.col("k").alias("user_id")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, epoch_us(ts)) AS event_id FROM events GROUP BY ALL")

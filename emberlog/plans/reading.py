@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators import frames, fused, replay
+from emberlog.operators import completion, frames, fused, replay
+from emberlog.operators.parse import parse
 from emberlog.plans.queries import EV, activity, query
 
 CREATURE = "['a rat', 'a wolf', 'a bat'][CAST(seq % 3 AS INT) + 1]"
@@ -137,3 +138,23 @@ s AS (SELECT h.stream_id, h.n, count(*) AS frames, min(frame) * 0.25 AS ts FROM
 SELECT stream_id, n AS place, CAST(ts AS DOUBLE) AS ts, {LINE} AS text, frames FROM s JOIN hits USING (stream_id, n) WHERE frames >= 2""")
 def frame_messages(spark, sf_dir):
     return frames.messages(frames.visual_rows(seen_frames(spark, sf_dir))).select("stream_id", F.col("place").cast("long").alias("place"), "ts", "text", "frames")
+
+
+@query("WITH " + HITS + """, c AS (SELECT *, CASE WHEN n % 17 = 3 AND actor <> 'Pa' THEN 'clipped' WHEN n % 19 = 5 THEN 'bare' WHEN n % 19 = 6 THEN 'beast' ELSE 'plain' END AS how FROM hits),
+o AS (SELECT stream_id, seq, actor AS name FROM c WHERE how IN ('plain', 'beast') UNION ALL SELECT stream_id, seq, creature FROM c WHERE how IN ('plain', 'beast')),
+names AS (SELECT stream_id, name, min(seq) AS first FROM o GROUP BY ALL),
+cand AS (SELECT c.stream_id, c.seq, k.name, k.first, (SELECT count(*) FROM o WHERE o.stream_id = c.stream_id AND o.name = k.name AND o.seq < c.seq) AS known FROM c JOIN names k ON k.stream_id = c.stream_id
+  AND (how = 'clipped' AND k.name LIKE 'P%' AND length(k.name) - length(actor) + 1 BETWEEN 1 AND 2 AND ends_with(lower(k.name), substr(actor, 2)) OR how = 'bare' AND k.name = creature) WHERE how IN ('clipped', 'bare')),
+best AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY known DESC, first) AS rn FROM cand WHERE known >= 2)
+SELECT c.stream_id, c.seq, CASE WHEN how IN ('clipped', 'bare') AND b.name IS NULL THEN 'unknown' ELSE 'melee_hit' END AS kind,
+  CASE how WHEN 'plain' THEN actor WHEN 'beast' THEN creature ELSE b.name END AS actor, CASE WHEN how IN ('clipped', 'bare') AND b.name IS NULL THEN NULL WHEN how IN ('plain', 'clipped') THEN creature ELSE actor END AS target
+FROM c LEFT JOIN best b ON b.stream_id = c.stream_id AND b.seq = c.seq AND b.rn = 1""")
+def completed_names(spark, sf_dir):
+    """Lines whose attacker has lost its first letter or its article take the name that the stream held most often before."""
+    h = hits(spark, sf_dir)
+    how = F.when((F.col("n") % 17 == 3) & (F.col("actor") != "Pa"), "clipped").when(F.col("n") % 19 == 5, "bare").when(F.col("n") % 19 == 6, "beast").otherwise("plain")
+    end = F.concat(F.lit(" for "), F.col("amount").cast("string"), F.lit(" points of damage."))
+    line = (F.when(how == "clipped", F.concat(F.expr("substring(actor, 2)"), F.lit(" crushes "), "creature", end)).when(how == "bare", F.concat(F.expr("substring(creature, 3)"), F.lit(" bites "), "actor", end))
+            .when(how == "beast", F.concat("creature", F.lit(" bites "), "actor", end)).otherwise(F.concat("actor", F.lit(" crushes "), "creature", end)))
+    read = parse(h.select("stream_id", "seq", F.lit(0.0).alias("ts"), line.alias("text")))
+    return completion.completed(read).select("stream_id", "seq", "kind", "actor", "target")
