@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.config import ACTIVITY, DAMAGE, MISS
 from emberlog.functions import text as T
 from emberlog.functions.groups import spaced
+from emberlog.functions.tables import settled
 from emberlog.operators.metrics import ENC, sides
 
 #: Kinds that show who met whom.
@@ -205,13 +206,19 @@ def heads(f: DataFrame, rows: DataFrame) -> DataFrame:
                     "unrecognized", "estimated_amounts", "delayed")
 
 
+def told(rows: DataFrame, credits: DataFrame | None, you: str, members: frozenset[str], excluded: frozenset[str], owners: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """Events and their facts with sides, each computed once."""
+    rows = settled(rows)
+    return rows, settled(with_sides(settled(facts(rows, credits)), rows, you, members, excluded, owners))
+
+
 def snapshot(rows: DataFrame, *, you: str = "You", members: frozenset[str] = frozenset(), excluded: frozenset[str] = frozenset(), owners: dict[str, str] | None = None,
              credits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(heads, participants)`` of encounters, pets under their owners; ``owners`` and ``members`` are the roster at the end, a handful of names.
 
-    An empty table gives two empty ones. Repeated events count each for itself.
+    An empty table gives two empty ones. Repeated events count each for itself. Events and facts are settled, as many steps use them.
     """
-    f = with_sides(facts(rows, credits), rows, you, members, excluded, owners)
+    rows, f = told(rows, credits, you, members, excluded, owners)
     h = heads(f, rows)
     spans = h.select(*ENC, "duration", "group_damage", "all_damage")
     return h, participants(under_owners(f, dict(owners or {})), spans)
@@ -220,7 +227,7 @@ def snapshot(rows: DataFrame, *, you: str = "You", members: frozenset[str] = fro
 def zones(rows: DataFrame, *, you: str = "You", members: frozenset[str] = frozenset(), excluded: frozenset[str] = frozenset(), owners: dict[str, str] | None = None,
           credits: DataFrame | None = None) -> DataFrame:
     """The encounters of a zone epoch that the group took part in as one: facts add up with their skills and counts, durations too; maxima stay."""
-    f = with_sides(facts(rows, credits), rows, you, members, excluded, owners)
+    rows, f = told(rows, credits, you, members, excluded, owners)
     h = heads(f, rows).where("ours")
     zone = ENC[:2]
     spans = h.groupBy(*zone).agg(F.sum("duration").alias("duration"), F.sum("group_damage").alias("group_damage"), F.sum("all_damage").alias("all_damage"))
