@@ -9,6 +9,7 @@ from emberlog.config import DAMAGE
 from emberlog.functions import text as T
 from emberlog.functions.groups import per_group
 from emberlog.functions.intervals import near_join
+from emberlog.functions.tables import settled
 
 # How far an attempt may lie from its result (seconds, rows).
 CAST_BACK_S, INSTANT_BACK_S, INSTANT_BACK_ROWS = 6.5, 1.5, 4
@@ -84,7 +85,7 @@ def control_pairs(rows: DataFrame, skills: DataFrame, keys: list[str]) -> DataFr
     stops unless it is a cast itself. Tier 0 has the phrase's first word in its name, 1 the category and the victim, 2 the category.
     """
     w = Window.partitionBy(*keys).orderBy("seq")
-    e = rows.withColumn("_i", F.row_number().over(w))
+    e = settled(rows.withColumn("_i", F.row_number().over(w)))
     fades = (F.col("kind") == "cc_fade") | ((F.col("kind") == "status") & F.coalesce(F.col("outcome") == "fade", F.lit(False)))
     a = with_categories(e.where(~fades & F.col("kind").isin(*ATTEMPTS) & F.col("actor").isNotNull() & F.col("skill").isNotNull()), skills).where("cats is not null")
     cast = (F.col("kind") == "cast") & ~F.lower("skill").isin(*INSTANT_CASTS)
@@ -112,6 +113,7 @@ def control_pairs(rows: DataFrame, skills: DataFrame, keys: list[str]) -> DataFr
     tier = F.when(F.coalesce(F.contains("a._low", first), F.lit(False)), 0).when(own & aimed, 1).when(own, 2).otherwise(3)
     p = j.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.seq").alias("seq"), F.col("r.ts").alias("ts"), F.col("r.category").alias("category"), F.col("r.victim").alias("victim"), tier.alias("tier"), F.abs(dt).alias("near"),
                  F.abs(di).alias("lines"), F.col("a.seq").alias("attempt"), F.col("a.actor").alias("actor"), F.col("a.skill").alias("skill"), F.col("a._low").alias("_low"), (~F.col("a.multi")).alias("single"), aimed.alias("_aimed"))
+    p, rows = settled(p), e
     # players meet players only where they fight, and some spells interrupt only through their debuff on the victim
     foes = rows.where(F.col("kind").isin(*DAMAGE) & F.col("actor").isNotNull() & F.col("target").isNotNull()).select(*keys, "actor", F.col("target").alias("victim")).distinct().withColumn("_foe", F.lit(True))
     p = p.join(foes, [*keys, "actor", "victim"], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions.groups import per_group
+from emberlog.functions.tables import settled
 from emberlog.operators.frames import ratio, ratios
 
 # How far back an original lies (rows or seconds), what a copy is, which lines must be exact, how a file's head meets the tail before it.
@@ -41,7 +42,7 @@ def copies(lines: DataFrame) -> DataFrame:
     Only crowded rows and their neighbours can show a run's extent, so only they look back. Equal lines meet by key. A line that was read otherwise
     meets the line at the distance of an equal pair of its crowd, and is compared there.
     """
-    n = crowded(numbered(lines))
+    n = settled(crowded(numbered(lines)))
     w = Window.partitionBy("stream_id").orderBy("i")
     near = n.withColumn("_look", F.col("crowd") | F.coalesce(F.lag("crowd").over(w), F.lit(False)) | F.coalesce(F.lead("crowd").over(w), F.lit(False)))
     near = near.withColumn("_crowd", F.sum((F.col("_look") & ~F.coalesce(F.lag("_look").over(w), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_look")
@@ -109,7 +110,7 @@ def replays(lines: DataFrame) -> DataFrame:
     So what the game says again at its own pace stays. Rows that have no possible original part a stream into the stretches that are decided
     each by itself. Null texts are empty lines; an empty table has none.
     """
-    c = copies(lines)
+    c = settled(copies(lines))
     rows = c.select("stream_id", "i").distinct()
     w = Window.partitionBy("stream_id").orderBy("i")
     part = rows.withColumn("_new", F.coalesce(F.col("i") - F.lag("i").over(w) > 1, F.lit(True)).cast("int"))
@@ -185,7 +186,8 @@ def united(lines: DataFrame, reset_s: float = 21600.0) -> DataFrame:
 
     ``place`` and ``line`` give the order; ``fresh`` marks files that begin more than ``reset_s`` after the one before, where a party is a new one.
     """
-    files = ordered_files(lines)
+    lines = settled(lines)
+    files = settled(ordered_files(lines))
     kept = lines.join(backlog(lines, files), ["stream_id", "file", "line"], "left_anti")
     fresh = F.coalesce(F.col("gap") > reset_s, F.col("before").isNull() | F.col("gap").isNull())
     return kept.join(files.select("stream_id", "file", "place", fresh.alias("fresh")), ["stream_id", "file"]).select("stream_id", "place", "line", "ts", "text", "fresh")
