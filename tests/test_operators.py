@@ -40,15 +40,18 @@ def test_names_are_similar_by_two_words_and_by_folded_letters():
     assert resolve.canonical([("a mossy crawler", 6), ("a mossy prowler", 4), ("a mossy crawlerj", 1)]) == {"a mossy crawler": "a mossy crawler", "a mossy prowler": "a mossy prowler", "a mossy crawlerj": "a mossy crawler"}
 
 
-def test_an_attempt_at_someone_else_is_not_credited():
-    tries = [(1, 1.0, "cast", "Bo", "a wolf", "Bash", "stun"), (2, 2.0, "cast", "Al", None, "Bash", "stun")]
-    assert attribution.credit([(3, 2.5, "a rat", "stun"), (4, 2.6, "a rat", "stun")], tries) == [(3, "Al", "Bash")]
-
-
 def events(spark, rows):
     return spark.createDataFrame(rows, "stream_id string, seq long, ts double, kind string, actor string, target string, amount long, skill string, outcome string, is_pet boolean")
 
 
+def test_an_attempt_at_someone_else_is_not_credited(spark):
+    bash = lambda i, t, actor, target: ("s", i, t, "status", actor, target, None, "Bash", None, False)
+    stunned = lambda i, t: ("s", i, t, "cc", None, "a rat", None, None, "stun", False)
+    e = events(spark, [bash(1, 2.0, "Bo", "a wolf"), bash(2, 2.0, "Al", "a rat"), stunned(3, 2.5), stunned(4, 2.6)])
+    got = attribution.control_credit(e, spark.createDataFrame([("Bash", "stun")], "skill string, category string"), ["stream_id"])
+    assert [(r.seq, r.actor, r.skill) for r in got.collect()] == [(3, "Al", "Bash")]
+
+
 def test_the_gap_is_strict_and_context_does_not_extend(spark):
     hit = lambda i, t, kind="melee_hit": ("s", i, t, kind, "Bo", "a rat", 1, None, None, False)
     got = E.assign_encounters(events(spark, [hit(0, 0.0), hit(1, 12.0), hit(2, 20.0, "heal"), hit(3, 24.1), hit(4, 30.0)]), 12.0)
@@ -60,7 +63,7 @@ def test_sides_and_credit_and_names_by_group(spark):
     e = events(spark, [hit(0, "You", "Dark Elf"), hit(1, "Bo", "Dark Elf"), hit(2, "a rat", "Bo")])
     e = E.assign_encounters(e, 12.0)
     assert {r.name: r.side for r in M.sides(e, members=frozenset({"Bo"})).collect()} == {"You": "group", "Bo": "group", "Dark Elf": "enemy", "a rat": "enemy"}
-    cc = E.assign_encounters(events(spark, [hit(0, "You", "a rat"), hit(1, "Bo", "a rat", kind="cast", skill="Bash"), hit(2, None, "a rat", kind="cc", outcome="stun"), hit(3, None, "a rat", kind="cc", outcome="stun")]), 12.0)
+    cc = E.assign_encounters(events(spark, [hit(0, "You", "a rat"), hit(1, "Bo", "a rat", kind="status", skill="Bash"), hit(2, None, "a rat", kind="cc", outcome="stun"), hit(3, None, "a rat", kind="cc", outcome="stun")]), 12.0)
     skills = spark.createDataFrame([("Bash", "stun")], "skill string, category string")
     assert [(r.seq, r.actor, r.skill) for r in attribution.control_credit(cc, skills, M.ENC).collect()] == [(2, "Bo", "Bash")]
     names = E.assign_encounters(events(spark, [hit(i, "You", "a stumbling zombie") for i in range(4)] + [hit(4, "You", "a stumbIing zombie")]), 12.0)
