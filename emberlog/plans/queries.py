@@ -347,7 +347,8 @@ def spelling_neighbours(spark, sf_dir):
     return resolve.spelling_pairs(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query()
+@query("WITH " + ENC + """ SELECT DISTINCT stream_id, zone_epoch, enc, name, CASE WHEN name LIKE 'a %' THEN 'enemy' WHEN name = 'Pb' THEN 'group' ELSE 'other' END AS side
+  FROM (SELECT stream_id, zone_epoch, enc, unnest([actor, target]) AS name FROM r WHERE kind IN ('melee_hit', 'melee_miss', 'ability_hit'))""")
 def sides(spark, sf_dir):
     return M.sides(E.encounter_rows(assigned(spark, sf_dir)), you="Pb")
 
