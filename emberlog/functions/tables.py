@@ -17,3 +17,9 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="emberlog-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it comes in fewer parts, for steps whose rows cost far more than their bytes say, such as parsing; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

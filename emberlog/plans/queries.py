@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import html as H
 from emberlog.functions import text as T
+from emberlog.functions.tables import spread
 from emberlog.operators import attribution, boards, encounters as E, metrics as M, resolve, roster, session as S, triggers as R
 from emberlog.operators.parse import parse
 from emberlog.plans.samples import SAMPLES, values
@@ -91,7 +92,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("kind") == "melee_miss", F.concat("actor", F.lit(" tries to crush "), "target", F.lit(", but misses!")))
             .when(F.col("kind") == "heal", F.concat(owner, F.lit("Heal heals Wululiso for "), n, F.lit(" Health.")))
             .otherwise(F.concat(F.lit("You have entered "), "target", F.lit("."))))
-    return a.select("stream_id", "seq", "ts", line.alias("text"))
+    return spread(a).select("stream_id", "seq", "ts", line.alias("text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.get(F.array(*[F.lit(row[0]) for row in SAMPLES]), (F.col("seq") % len(SAMPLES)).cast("int"))
     for mark, value in (("{a}", F.col("actor")), ("{t}", creature), ("{n}", F.col("amount").cast("string"))):
         line = F.replace(line, F.lit(mark), value)
-    return a.select("stream_id", "seq", "ts", line.alias("text"))
+    return spread(a).select("stream_id", "seq", "ts", line.alias("text"))
 
 
 FILLED = "replace(replace(replace({0}, '{{a}}', actor), '{{t}}', creature), '{{n}}', CAST(amount AS VARCHAR))"

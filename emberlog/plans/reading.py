@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.tables import spread
 from emberlog.operators import completion, frames, fused, replay
 from emberlog.operators.parse import parse
 from emberlog.plans.queries import EV, activity, query
@@ -57,7 +58,7 @@ def fused_lines(spark, sf_dir):
     line = F.get(F.array(*[F.lit(text) for text, _ in FUSED]), (F.col("seq") % len(FUSED)).cast("int"))
     for mark, value in (("{a}", F.col("actor")), ("{t}", F.col("creature")), ("{n}", F.col("amount").cast("string")), ("{m}", (F.col("amount") + 1).cast("string"))):
         line = F.replace(line, F.lit(mark), value)
-    return fused.parse_fused(hits(spark, sf_dir).select("stream_id", "seq", F.lit(0.0).alias("ts"), line.alias("text"))).select("stream_id", "seq", "part", "kind", "actor", "target", "amount")
+    return fused.parse_fused(spread(hits(spark, sf_dir)).select("stream_id", "seq", F.lit(0.0).alias("ts"), line.alias("text"))).select("stream_id", "seq", "part", "kind", "actor", "target", "amount")
 
 
 def numbered_line():
@@ -156,5 +157,5 @@ def completed_names(spark, sf_dir):
     end = F.concat(F.lit(" for "), F.col("amount").cast("string"), F.lit(" points of damage."))
     line = (F.when(how == "clipped", F.concat(F.expr("substring(actor, 2)"), F.lit(" crushes "), "creature", end)).when(how == "bare", F.concat(F.expr("substring(creature, 3)"), F.lit(" bites "), "actor", end))
             .when(how == "beast", F.concat("creature", F.lit(" bites "), "actor", end)).otherwise(F.concat("actor", F.lit(" crushes "), "creature", end)))
-    read = parse(h.select("stream_id", "seq", F.lit(0.0).alias("ts"), line.alias("text")))
+    read = parse(spread(h).select("stream_id", "seq", F.lit(0.0).alias("ts"), line.alias("text")))
     return completion.completed(read).select("stream_id", "seq", "kind", "actor", "target")
