@@ -71,7 +71,9 @@ def attach_prefight(assigned: DataFrame, within_s: float = 20.0, rows: int = 20)
     w = Window.partitionBy("stream_id", "zone_epoch").orderBy("seq")
     new = F.col("act") & (F.col("enc") > F.coalesce(F.max("enc").over(w.rowsBetween(START, BEFORE)), F.lit(0)))
     e = assigned.withColumn("_open", F.when(new, F.struct("seq", "ts", "enc")))
-    e = e.withColumn("_next", F.first("_open", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # read backwards, as a frame that ends with its partition is computed anew for every row
+    back = Window.partitionBy("stream_id", "zone_epoch").orderBy(F.col("seq").desc())
+    e = e.withColumn("_next", F.last("_open", True).over(back.rowsBetween(START, BEFORE)))
     e = e.where(F.col("enc").isNull() & F.col("kind").isin(*PREFIGHT) & F.col("_next").isNotNull() & (F.col("_next.ts") - F.col("ts") <= within_s))
     last = Window.partitionBy("stream_id", "zone_epoch", "_next.seq").orderBy(F.col("seq").desc())
     return e.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= rows).select("stream_id", "zone_epoch", "seq", F.col("_next.enc").alias("enc"), F.col("_next.seq").alias("open_seq"))

@@ -69,9 +69,8 @@ def classify_kills(events: DataFrame, party: DataFrame, owners: DataFrame, you:
 def coin_received(events: DataFrame, within_s: float = 5.0) -> DataFrame:
     """The viewer's share of each coin line: its own split, else a split line's that follows within ``within_s`` before the next coin, else all if the viewer looted."""
     w = Window.partitionBy("stream_id").orderBy("seq")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
     e = events.where(F.col("kind").isin("coin", "coin_split"))
-    nxt = F.first(F.struct("kind", "ts", "split_copper")).over(later)
+    nxt = F.lead(F.struct("kind", "ts", "split_copper")).over(w)
     e = e.withColumn("_n", nxt).where("kind = 'coin'")
     follow = F.when((F.col("_n.kind") == "coin_split") & (F.col("_n.ts") - F.col("ts") <= within_s) & (F.col("_n.split_copper") <= F.col("copper")), F.col("_n.split_copper"))
     return e.select("stream_id", "seq", "actor", "copper", F.coalesce("split_copper", follow, F.when(F.col("actor") == "You", F.col("copper")), F.lit(0)).alias("received"))
