@@ -89,14 +89,8 @@ def kept(counts: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
 def neighbours(counts: DataFrame) -> DataFrame:
     """``counts`` with ``fold`` and ``near``: the names of the category whose spelling is close."""
     c = counts.withColumn("fold", folded(F.col("name")))
-    # spellings of two categories never meet: the category is a word of the compared name
     names = c.select("category", "fold").distinct()
-    pairs = None
-    for category in [r[0] for r in names.select("category").distinct().collect()]:
-        p = spelling_pairs(names.where(F.col("category") == category).select(F.col("fold").alias("name"))).select(F.lit(category).alias("category"), "a", "b")
-        pairs = p if pairs is None else pairs.union(p)
-    if pairs is None:
-        return c.withColumn("near", F.array().cast("array<string>"))
+    pairs = spelling_pairs(names.select("category", F.col("fold").alias("name")), ["category"]).select("category", "a", "b")
     both = pairs.union(pairs.select("category", F.col("b"), F.col("a"))).union(names.select("category", "fold", "fold"))
     named = c.select(F.col("category"), F.col("fold").alias("b"), F.col("name").alias("other"))
     near = both.join(named, ["category", "b"]).groupBy("category", F.col("a").alias("fold")).agg(F.collect_list("other").alias("near"))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from emberlog.operators import encounters as E, session
+from emberlog.operators import encounters as E, resolve, session
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_coin_received_looks_at_the_next_row_alone(spark):
     rows = [("s", 1, 0.0, "A", "coin", 10, None), ("s", 2, 1.0, "A", "coin_split", None, 4), ("s", 3, 2.0, "A", "coin", 7, None), ("s", 4, 9.0, "A", "coin_split", None, 3), ("s", 5, 10.0, "You", "coin", 5, None)]
     out = session.coin_received(spark.createDataFrame(rows, "stream_id string, seq long, ts double, actor string, kind string, copper long, split_copper long"))
@@ -21,3 +30,21 @@ def test_prefight_reads_backwards(spark):
     out = E.attach_prefight(E.assign_encounters(spark.createDataFrame(rows, "stream_id string, seq long, ts double, kind string, actor string, target string")))
     assert sorted((r.seq, r.enc, r.open_seq) for r in out.collect()) == [(0, 1, 2), (1, 1, 2)]
     assert "unboundedfollowing" not in plan(out)
+
+
+def test_spelling_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 16, raising=False)
+    names = [f"Supplier#{n:09d}" for n in range(0, 4000, 37)] + ["bob", "bobb", "Marrowa", "marrow", "Marow"]
+    out = resolve.spelling_pairs(spark.createDataFrame([(n,) for n in names], "name string"))
+    limit = lambda n: 0 if n < 5 else 1 if n <= 8 else 2 if n <= 16 else 3
+    low = {n: n.lower() for n in names}
+    want = sorted((a, b, distance(low[a], low[b])) for a in names for b in names if a < b and distance(low[a], low[b]) <= limit(min(len(a), len(b))))
+    assert sorted(map(tuple, out.collect())) == want
+    # numbered names all share their rarest pairs of letters, and stay dealt over many tasks
+    assert out.rdd.getNumPartitions() > 4
+
+
+def test_spelling_pairs_of_groups_never_meet(spark):
+    names = [("x", "marrowa"), ("x", "marrowb"), ("y", "marrowc"), ("y", "gloomfen"), ("y", "gloomfan")]
+    out = resolve.spelling_pairs(spark.createDataFrame(names, "category string, name string"), ["category"])
+    assert sorted(map(tuple, out.collect())) == [("x", "marrowa", "marrowb", 1), ("y", "gloomfan", "gloomfen", 1)]
