@@ -114,10 +114,19 @@ def numbers_of(norm: Column) -> Column:
     return F.filter(F.transform(F.split(norm, " "), lambda w: F.when(w.isin("i", "l"), "1").when(w == "o", "0").otherwise(F.regexp_replace(w, "[^0-9]", ""))), lambda n: n != "")
 
 
+def digits_of(norm: Column) -> Column:
+    """All digits of a compared line."""
+    return F.array_join(numbers_of(norm), "")
+
+
+def digits_agree(x: Column, y: Column) -> Column:
+    """Whether two lines' ``digits_of`` are equal, or one has none."""
+    return (x == y) | (x == "") | (y == "")
+
+
 def numbers_agree(a: Column, b: Column) -> Column:
     """Whether the digits of two compared lines are equal, or one has none."""
-    x, y = F.array_join(numbers_of(a), ""), F.array_join(numbers_of(b), "")
-    return (x == y) | (x == "") | (y == "")
+    return digits_agree(digits_of(a), digits_of(b))
 
 
 def same_numbers(a: str, b: str) -> bool:

@@ -51,9 +51,17 @@ def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def alike(a: Column, b: Column, least: float = SAME) -> Column:
-    """Whether two compared texts are one message: equal, or alike with no two different numbers. Lengths that rule it out are not compared."""
-    near = (2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))) & T.numbers_agree(a, b)
+def near_texts(a: Column, b: Column, least: float, x: Column, y: Column) -> Column:
+    """Whether the lengths of two compared texts and their digits ``x`` and ``y`` leave open that they are one message."""
+    return (2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))) & T.digits_agree(x, y)
+
+
+def alike(a: Column, b: Column, least: float = SAME, digits: tuple[Column, Column] | None = None) -> Column:
+    """Whether two compared texts are one message: equal, or alike with no two different numbers. Lengths that rule it out are not compared.
+
+    ``digits`` are the texts' ``digits_of``, where they are at hand.
+    """
+    near = near_texts(a, b, least, *(digits or (T.digits_of(a), T.digits_of(b))))
     return F.when(a == b, F.lit(EXACT)).when(near & (ratios(F.when(near & (a != b), a), F.when(near & (a != b), b)) >= least), F.lit(ALIKE)).otherwise(F.lit(0.0))
 
 
@@ -81,18 +89,24 @@ def shifts(rows: DataFrame) -> DataFrame:
 
     ``shift`` is the best supported one from 0 on, the smallest of equals; the first row, which may be clipped, counts half. Without enough
     support for the rows that would overlap the window has jumped: all rows are new. A stream's first frame has shift 0.
+
+    Digits are taken from each row once, and only pairs that lengths and digits leave open are compared. All joins are merges: rows come of lines that were
+    multiplied, so the optimizer's guess of their size, on which it would broadcast them, is far too low.
     """
     size = rows.groupBy("stream_id", "frame").agg(F.count("*").alias("n"))
     order = Window.partitionBy("stream_id").orderBy("frame")
     size = size.withColumn("before", F.lag("frame").over(order)).withColumn("m", F.lag("n").over(order))
-    now = rows.join(size, ["stream_id", "frame"]).where("before is not null").select("stream_id", "frame", "n", "m", "before", "row", "norm")
-    then = rows.select("stream_id", F.col("frame").alias("before"), F.col("row").alias("_row"), F.col("norm").alias("_norm"))
-    pairs = now.join(then, ["stream_id", "before"]).where(F.col("_row") >= F.col("row")).withColumn("w", alike(F.col("_norm"), F.col("norm"))).where("w > 0")
+    marked = rows.select("stream_id", "frame", "row", "norm", T.digits_of(F.col("norm")).alias("digits"))
+    now = marked.join(size.hint("merge"), ["stream_id", "frame"]).where("before is not null").select("stream_id", "frame", "n", "m", "before", "row", "norm", "digits")
+    then = marked.select("stream_id", F.col("frame").alias("before"), F.col("row").alias("_row"), F.col("norm").alias("_norm"), F.col("digits").alias("_digits"))
+    texts, digits = (F.col("_norm"), F.col("norm")), (F.col("_digits"), F.col("digits"))
+    pairs = now.join(then.hint("merge"), ["stream_id", "before"]).where(F.col("_row") >= F.col("row")).where((texts[0] == texts[1]) | near_texts(*texts, SAME, *digits))
+    pairs = pairs.withColumn("w", alike(*texts, digits=digits)).where("w > 0")
     votes = pairs.groupBy("stream_id", "frame", "n", "m", (F.col("_row") - F.col("row")).alias("shift")).agg(F.sum(F.col("w") * F.when((F.col("row") == 0) & (F.col("n") > 1), TOP_ROW).otherwise(1.0)).alias("score"))
     best = votes.groupBy("stream_id", "frame", "n", "m").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("b"))
     overlap = F.least(F.col("n"), F.col("m") + F.col("b.back"))
     fits = best.where(F.col("b.score") >= F.greatest(F.lit(LEAST_SCORE), LEAST_SHARE * overlap)).select("stream_id", "frame", (-F.col("b.back")).alias("shift"))
-    s = size.join(fits, ["stream_id", "frame"], "left")
+    s = size.join(fits.hint("merge"), ["stream_id", "frame"], "left")
     return s.select("stream_id", "frame", "n", F.when(F.col("before").isNull(), 0).otherwise(F.coalesce("shift", "m")).alias("shift"))
 
 
@@ -100,7 +114,7 @@ def places(rows: DataFrame) -> DataFrame:
     """``rows`` with ``place``, the row's number in the whole chat: the sum of shifts up to its frame, and the row."""
     to_here = Window.partitionBy("stream_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     at = shifts(rows).select("stream_id", "frame", F.sum("shift").over(to_here).alias("_top"))
-    return rows.join(at, ["stream_id", "frame"]).withColumn("place", F.col("_top") + F.col("row")).drop("_top")
+    return rows.join(at.hint("merge"), ["stream_id", "frame"]).withColumn("place", F.col("_top") + F.col("row")).drop("_top")
 
 
 def best_reading(votes: list[tuple]) -> tuple[str, float, int]:

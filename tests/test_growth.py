@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.operators import encounters as E, resolve, session
+from emberlog.operators import encounters as E, frames, resolve, session
 
 
 def plan(df) -> str:
@@ -48,3 +48,11 @@ def test_spelling_pairs_of_groups_never_meet(spark):
     names = [("x", "marrowa"), ("x", "marrowb"), ("y", "marrowc"), ("y", "gloomfen"), ("y", "gloomfan")]
     out = resolve.spelling_pairs(spark.createDataFrame(names, "category string, name string"), ["category"])
     assert sorted(map(tuple, out.collect())) == [("x", "marrowa", "marrowb", 1), ("y", "gloomfan", "gloomfen", 1)]
+
+
+def test_frames_are_not_broadcast(spark):
+    rows = [("s", f, f * 0.25, f"row {f + r}", r, f"row {f + r}") for f in range(6) for r in range(4)]
+    r = spark.createDataFrame(rows, "stream_id string, frame long, t double, text string, row int, norm string")
+    out = frames.messages(r.select("stream_id", "frame", "t", "row", "text", "norm"))
+    assert sorted((x.place, x.text) for x in out.collect()) == [(p, f"row {p}") for p in range(1, 8)]
+    assert "BroadcastHashJoin" not in plan(out)
