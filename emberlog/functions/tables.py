@@ -19,7 +19,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a part whose rows are costly.
+PART = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores where it comes in fewer parts, for steps whose rows cost far more than their bytes say, such as parsing; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt to all cores, and to parts of about ``PART`` rows, where it comes in fewer parts, for steps whose rows cost far more than their bytes say, such as
+    parsing; else as it is. The rows are counted, without the columns that only the step reads."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

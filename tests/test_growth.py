@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from emberlog.functions import tables
 from emberlog.operators import encounters as E, frames, resolve, session
 
 
@@ -56,3 +57,10 @@ def test_frames_are_not_broadcast(spark):
     out = frames.messages(r.select("stream_id", "frame", "t", "row", "text", "norm"))
     assert sorted((x.place, x.text) for x in out.collect()) == [(p, f"row {p}") for p in range(1, 8)]
     assert "BroadcastHashJoin" not in plan(out)
+
+
+def test_costly_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART", 10, raising=False)
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(spark.range(10 * (cores + 3), numPartitions=1)).rdd.getNumPartitions() == cores + 3
+    assert tables.spread(spark.range(5, numPartitions=1)).rdd.getNumPartitions() == cores
