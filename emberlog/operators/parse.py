@@ -8,10 +8,12 @@ word replaced by the message word that it is a misreading of.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from emberlog.functions import text as T
 from emberlog.operators import messages as M
@@ -20,6 +22,8 @@ from emberlog.operators import messages as M
 CUT = "\x01"
 MARK = r"\((?:\d+ absorbed|Block \d+|Critical|Crippling Blow)\)"
 SKILLED = ("ability_hit", "ability_miss", "heal", "cast", "resist", "debuff")
+#: What of a word may be misread.
+BARE = re.compile("[a-z0-9]{4,}")
 #: Highest level a line can name.
 TOP_LEVEL = 60
 
@@ -59,17 +63,61 @@ def _list(values: list[str]) -> Column:
     return F.split(F.lit(CUT.join(values)), CUT, -1)
 
 
-def reread(s: Column) -> Column:
-    """The line with each lower-case word that is no message word replaced by the only one an edit away (two from eight letters on)."""
-    words = _list(sorted({w for f in M.FORMS for w in re.findall(r"[a-z]{4,}", re.sub(r"\{[^}]*\}", " ", f.text))}))
-    near = lambda w: F.filter(words, lambda k: (F.abs(F.length(k) - F.length(w)) <= 2) & (F.levenshtein(k, w) <= F.when(F.length(k) >= 8, 2).otherwise(1)))
+#: The words of messages.
+WORDS = frozenset(w for f in M.FORMS for w in re.findall(r"[a-z]{4,}", re.sub(r"\{[^}]*\}", " ", f.text)))
 
-    def one(w: Column) -> Column:
-        bare = F.regexp_extract(w, "^[a-z0-9]{4,}", 0)
-        found = F.when((bare != "") & ~F.array_contains(words, bare), near(bare))
-        return F.when(F.size(found) == 1, F.concat(F.get(found, F.lit(0)), F.substr(w, F.length(bare) + 1))).otherwise(w)
 
-    return F.array_join(F.transform(F.split(s, " "), one), " ")
+def _edits(word: str) -> int:
+    """How many edits a misreading of a message word may hold."""
+    return 2 if len(word) >= 8 else 1
+
+
+def _shortened(word: str, n: int) -> set[str]:
+    """The word without any ``n`` letters or fewer."""
+    out = last = {word}
+    for _ in range(n):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+@cache
+def _by_rest() -> dict[str, list[str]]:
+    """Message words by what is left of them without as many letters as they may differ by: two words within n edits have a rest without n letters in common."""
+    found: dict[str, list[str]] = {}
+    for word in WORDS:
+        for rest in _shortened(word, _edits(word)):
+            found.setdefault(rest, []).append(word)
+    return found
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@lru_cache(1 << 16)
+def _message_word(word: str) -> str:
+    """The only message word that ``word`` is a misreading of, else ``word``."""
+    if word in WORDS or word.isdigit() or len(word) > max(map(len, WORDS)) + 2:
+        return word
+    near = {k for rest in _shortened(word, 2) for k in _by_rest().get(rest, ()) if abs(len(k) - len(word)) <= 2}
+    near = [k for k in near if _distance(k, word) <= _edits(k)]
+    return near[0] if len(near) == 1 else word
+
+
+@F.pandas_udf(StringType())
+def reread(s: pd.Series) -> pd.Series:
+    """The line with each lower-case word that is no message word replaced by the only one an edit away (two from eight letters on). Words repeat, so they are kept."""
+    def one(w: str) -> str:
+        bare = BARE.match(w)
+        return _message_word(bare[0]) + w[bare.end():] if bare else w
+
+    return s.map(lambda x: None if x is None else " ".join(map(one, x.split(" "))))
 
 
 def _packed(s: Column, forms: list[tuple[int, M.Form, bool]]) -> Column:
@@ -143,7 +191,7 @@ def parse(lines: DataFrame, player: str = "You") -> DataFrame:
     s = s.withColumn("is_pet", F.coalesce(F.col("_s").rlike(r"^Your pet [A-Z]"), F.lit(False))).withColumn("_s", F.regexp_replace(F.regexp_replace("_s", r"^Your pet (?=[A-Z])", ""), tail, ""))
     s = s.withColumn("_p", F.when(F.col("_s").isNull(), F.col("_p")).otherwise(_packed(F.col("_s"), exact)))
     # what the forms do not take: cut off, misread, then the wide forms
-    s = s.withColumn("_r", F.when(~hit(F.col("_p")) & (F.col("_s") != ""), reread(completed(F.col("_s")))))
+    s = s.withColumn("_r", reread(F.when(~hit(F.col("_p")) & (F.col("_s") != ""), completed(F.col("_s")))))
     s = s.withColumn("_p", F.when(F.col("_r").isNull() | (F.col("_r") == F.col("_s")), F.col("_p")).otherwise(_packed(F.col("_r"), exact)))
     s = s.withColumn("_p", F.when(hit(F.col("_p")), F.col("_p")).when(F.col("_s") != "", _packed(F.col("_s"), late)))
     s = s.withColumn("_i", F.when(hit(F.col("_p")), _place(F.col("_p"))))
