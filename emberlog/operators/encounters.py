@@ -13,6 +13,8 @@ from emberlog.config import ACTIVITY, DAMAGE, PREFIGHT
 from emberlog.functions import text as T
 
 START, BEFORE = Window.unboundedPreceding, -1
+#: Rows of a stretch of ``seq`` over all streams.
+BLOCK = 200_000
 
 
 def between_npcs(is_pet: Column | None = None) -> Column:
@@ -109,20 +111,47 @@ def with_zone(events: DataFrame) -> DataFrame:
     return events.withColumn("zone", F.coalesce(z, F.lit(""))).where("kind <> 'zone'")
 
 
+def in_blocks(events: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """``events`` with ``_b``, the stretch of ``seq`` that a row lies in: about ``rows`` rows where ``seq`` is even. Blocks ascend with ``seq``."""
+    a = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("seq").alias("n")).first()
+    width = max(1, (a["hi"] - a["lo"] + 1) * rows // a["n"]) if a["n"] else 1
+    return events.withColumn("_b", F.floor((F.col("seq") - F.lit(a["lo"] or 0)) / F.lit(width)).cast("long"))
+
+
+def before_blocks(events: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """``events`` with the sums of ``values`` over the blocks before a row's own, by ``keys``; null keys are a group. Only these sums go over whole streams."""
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(START, BEFORE)
+    sums = events.groupBy(*keys, "_b").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in values])
+    on = F.col("_b").eqNullSafe(F.col("_kb"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return events.join(sums, on).drop(*[f"_k{i}" for i in range(len(keys))], "_kb")
+
+
 def impute_amounts(events: DataFrame) -> DataFrame:
     """Amounts for hits and heals that were read without one: means of earlier ones, by this zone visit and then the whole
     stream; by actor and skill, actor, skill, all. At least 1, halves to even. Filled rows are marked ``estimated`` and teach nothing.
+
+    What holds for a whole stream, its zones and its mean, is summed by blocks first, so no task sorts a stream.
     """
     group = F.when(F.col("kind") == "heal", "heal").when(F.col("kind").isin(*DAMAGE), "damage")
-    stream = Window.partitionBy("stream_id").orderBy("seq")
-    e = events.withColumn("_g", group).withColumn("_z", F.sum((F.col("kind") == "zone").cast("int")).over(stream.rowsBetween(START, 0)))
+    zone = (F.col("kind") == "zone").cast("int")
+    block = Window.partitionBy("stream_id", "_b").orderBy("seq").rowsBetween(START, 0)
+    e = before_blocks(in_blocks(events.withColumn("_g", group)), ["stream_id"], _z0=zone)
+    e = e.withColumn("_z", F.col("_z0") + F.sum(zone).over(block))
     e = e.withColumn("_a", F.lower("actor")).withColumn("_s", F.lower("skill"))
     known = F.when(F.col("_g").isNotNull() & ~F.coalesce(F.col("estimated"), F.lit(False)), F.col("amount"))
+    e = before_blocks(e, ["stream_id", "_g"], _sum=known, _n=known.isNotNull().cast("int"))
+    here = Window.partitionBy("stream_id", "_g", "_b").orderBy("seq").rowsBetween(START, BEFORE)
+    total, n = F.col("_sum") + F.coalesce(F.sum(known).over(here), F.lit(0)), F.col("_n") + F.count(known).over(here)
     guesses = []
     for scope in (["_z"], []):
         for keys in (["_a", "_s"], ["_a"], ["_s"], []):
-            guesses.append(F.avg(known).over(Window.partitionBy("stream_id", "_g", *scope, *keys).orderBy("seq").rowsBetween(START, BEFORE)))
+            by = [*scope, *keys]
+            guesses.append(F.avg(known).over(Window.partitionBy("stream_id", "_g", *by).orderBy("seq").rowsBetween(START, BEFORE)) if by else F.when(n > 0, total / n))
     e = e.withColumn("_guess", F.coalesce(*guesses))
     fill = F.col("amount").isNull() & F.col("_g").isNotNull() & F.col("_guess").isNotNull()
     value = F.greatest(F.lit(1).cast("long"), F.bround("_guess", 0).cast("long"))
-    return e.withColumn("estimated", F.coalesce(F.col("estimated"), F.lit(False)) | fill).withColumn("amount", F.when(fill, value).otherwise(F.col("amount"))).drop("_g", "_z", "_a", "_s", "_guess")
+    e = e.withColumn("estimated", F.coalesce(F.col("estimated"), F.lit(False)) | fill).withColumn("amount", F.when(fill, value).otherwise(F.col("amount")))
+    return e.drop("_g", "_b", "_z0", "_z", "_a", "_s", "_sum", "_n", "_guess")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from emberlog.functions import tables
 from emberlog.operators import encounters as E, frames, resolve, session
 from emberlog.operators.parse import parse
@@ -72,3 +74,14 @@ def test_a_line_is_read_again_without_comparing_every_message_word(spark):
     out = parse(spark.createDataFrame([("s", i, 0.0, x) for i, x in enumerate(lines)], "stream_id string, seq long, ts double, text string"))
     assert [r.kind for r in out.orderBy("seq").collect()] == ["melee_hit", "unknown", "unknown", "unknown"]
     assert "levenshtein" not in plan(out)
+
+
+def test_amounts_are_imputed_without_sorting_a_stream(spark, monkeypatch):
+    rows = [("s" if i % 2 else None, i * 3, "zone" if i % 11 == 0 else "melee_hit" if i % 3 else "heal", f"A{i % 5}", f"k{i % 4}", None if i % 4 == 1 else i, False) for i in range(80)]
+    e = spark.createDataFrame(rows, "stream_id string, seq long, kind string, actor string, skill string, amount long, estimated boolean")
+    whole = E.impute_amounts(e)
+    blocks = E.in_blocks
+    monkeypatch.setattr(E, "in_blocks", lambda x: blocks(x, 7))
+    split = E.impute_amounts(e)
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and split.columns == e.columns
+    assert not re.search(r"windowspecdefinition\(stream_id#\d+, (_g#\d+, )?seq#", plan(split))
