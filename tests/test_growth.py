@@ -92,3 +92,10 @@ def test_pairs_of_names_are_compared_once():
     hits = resolve.closeness.cache_info().hits
     assert resolve.canonical([("gloomfen", 9), ("gloomfan", 2)])["gloomfan"] == "gloomfen"
     assert resolve.closeness.cache_info().hits > hits
+
+
+def test_a_settled_table_is_read_by_columns(spark):
+    kept = tables.settled(spark.createDataFrame([(1, "a", None)], "x int, y string, z array<int>"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "a", None)]
+    assert "ReadSchema: struct<y:string>" in plan(kept.select("y"))
+    assert tables.settled(spark.range(1).selectExpr("id", "null as none")).collect() == [(0, None)]
