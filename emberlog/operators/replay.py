@@ -135,19 +135,27 @@ def lined_up(tail: list[tuple], head: list[tuple]) -> list[int]:
     """
     inside = [row[0] is not None and row[0] - head[0][0] <= HEAD_S for row in head] if head and head[0][0] is not None else []
     chains: dict[tuple[int, int], tuple[int, ...]] = {}
+    ends: list[list[int]] = []
     best: tuple[int, ...] = ()
     for j, (_, *line) in enumerate(head[:len(inside)]):
         before = [i for i in range(max(0, j - MISSED - 1), j) if all(inside[i + 1:j])]
-        for q, old in enumerate(tail):
-            if not repeats(old, tuple(line)):
+        begins = j <= MISSED and inside[j]
+        # only lines of the tail that a chain can go on to are compared; where none goes on, none can later
+        live = range(len(tail)) if begins else sorted({q for i in before for p in ends[i] for q in range(p + 1, min(p + SKIPPED + 1, len(tail)))})
+        ends.append([])
+        for q in live:
+            if not repeats(tail[q], tuple(line)):
                 continue
             links = [c for i in before for p in range(max(0, q - SKIPPED), q) if (c := chains.get((i, p)))]
-            if j <= MISSED and inside[j]:
+            if begins:
                 links.append(())
             if links:
                 chains[j, q] = chain = (*max(links, key=len), j)
+                ends[j].append(q)
                 if len(tail) - q <= SKIPPED and len(chain) > len(best) and len({head[i][1] for i in chain}) > 1:
                     best = chain
+        if j > MISSED and not any(ends[-MISSED - 1:]):
+            break
     return list(best) if len(best) >= LEAST_BACKLOG else []
 
 
@@ -168,17 +176,18 @@ def backlog(lines: DataFrame, files: DataFrame) -> DataFrame:
     A pair of files is one group of at most ``TAIL`` and ``HEAD`` lines, however large the files; an alignment cannot reach further.
     """
     w = Window.partitionBy("stream_id", "file")
-    n = lines.select("stream_id", "file", "line", "ts", T.compared(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("nums", T.numbers_of(F.col("norm")))
+    n = lines.select("stream_id", "file", "line", "ts", F.coalesce("text", F.lit("")).alias("text"))
     n = n.withColumn("_from", F.row_number().over(w.orderBy("line"))).withColumn("_to", F.row_number().over(w.orderBy(F.col("line").desc())))
     after = files.where((F.col("gap") <= RESTART_S) & F.col("before").isNotNull())
-    head = n.where(F.col("_from") <= HEAD).join(after.select("stream_id", "file"), ["stream_id", "file"]).select("stream_id", "file", F.lit(1).alias("side"), "line", "ts", "norm", "nums")
-    tail = n.where(F.col("_to") <= TAIL).withColumnRenamed("file", "before").join(after.select("stream_id", "before", "file"), ["stream_id", "before"]).select("stream_id", "file", F.lit(0).alias("side"), "line", "ts", "norm", "nums")
+    head = n.where(F.col("_from") <= HEAD).join(after.select("stream_id", "file"), ["stream_id", "file"]).select("stream_id", "file", F.lit(1).alias("side"), "line", "ts", "text")
+    tail = n.where(F.col("_to") <= TAIL).withColumnRenamed("file", "before").join(after.select("stream_id", "before", "file"), ["stream_id", "before"]).select("stream_id", "file", F.lit(0).alias("side"), "line", "ts", "text")
+    both = head.union(tail).withColumn("norm", T.compared(F.col("text"))).drop("text")
 
     def rule(rows: list[tuple]) -> list[tuple]:
         new = [r for r in rows if r[0] == 1]
         return [(new[j][1],) for j in lined_up([(r[3], r[4]) for r in rows if r[0] == 0], [(r[2], r[3], r[4]) for r in new])]
 
-    return per_group(head.union(tail), ["stream_id", "file"], ["side", "line"], rule, "line long")
+    return per_group(both.withColumn("nums", T.numbers_of(F.col("norm"))), ["stream_id", "file"], ["side", "line"], rule, "line long")
 
 
 def united(lines: DataFrame, reset_s: float = 21600.0) -> DataFrame:

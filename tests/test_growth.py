@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from emberlog.functions import tables
-from emberlog.operators import encounters as E, frames, resolve, session
+from emberlog.operators import encounters as E, frames, replay, resolve, session
 from emberlog.operators.parse import parse
 
 
@@ -94,6 +94,16 @@ def test_pairs_of_names_are_compared_once():
     assert resolve.closeness.cache_info().hits > hits
 
 
+def test_a_head_is_compared_no_further_than_its_chain(monkeypatch):
+    tail = [(f"line {i} of the tail", [str(i)]) for i in range(80)]
+    head = [(i * 0.01, f"line {i} of the tail", [str(i)]) for i in range(70, 80)] + [(5.0 + i, f"own line {i}", [str(i)]) for i in range(230)]
+    seen = []
+    compare = replay.repeats
+    monkeypatch.setattr(replay, "repeats", lambda old, new: seen.append(1) or compare(old, new))
+    assert replay.lined_up(tail, head) == list(range(10))
+    assert len(seen) < 400
+
+
 def test_a_settled_table_is_read_by_columns(spark):
     kept = tables.settled(spark.createDataFrame([(1, "a", None)], "x int, y string, z array<int>"))
     assert [tuple(r) for r in kept.collect()] == [(1, "a", None)]
