@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
-from emberlog.functions.tables import settled
+from emberlog.functions.tables import settled, spread
 from emberlog.operators import messages as M
 from emberlog.operators.parse import parse
 
@@ -74,8 +74,8 @@ def completed(events: DataFrame, player: str = "You") -> DataFrame:
     best = Window.partitionBy("stream_id", "seq").orderBy((F.col("category") != "player").cast("int"), F.col("known").desc(), "first", "name")
     k = k.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("stream_id", "seq", F.col("text").alias("whole"))
     lines = unread.join(k, ["stream_id", "seq"]).select("stream_id", "seq", "ts", F.col("whole").alias("text"))
-    # settled before it is filtered: a filter on a kind would be pushed into the parser and read every line many times
-    read = settled(parse(lines, player)).where("kind <> 'unknown'")
+    # settled before it is filtered: a filter on a kind would be pushed into the parser and read every line many times; the few bytes of the lines say nothing of their cost
+    read = settled(parse(spread(settled(lines)), player)).where("kind <> 'unknown'")
     own = e.select("stream_id", "seq", F.col("text").alias("_own"))
     mended = read.join(own, ["stream_id", "seq"]).withColumn("text", F.col("_own")).select(*e.columns)
     return e.join(read.select("stream_id", "seq"), ["stream_id", "seq"], "left_anti").select(*e.columns).union(mended)
