@@ -105,8 +105,10 @@ LOOKALIKE = {"i": "1", "l": "1", "o": "0"}
 
 def compared(text: Column) -> Column:
     """A line as it is compared: lower-case words of letters and digits; in words that read as numbers look-alike letters are digits."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['’‘`]", ""), "[^0-9a-z]+", " ")), " ")
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[ilo]*[0-9][0-9ilo]*$"), F.translate(w, "ilo", "110")).otherwise(w)), " ")
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['’‘`]", ""), "[^0-9a-z]+", " "))
+    mended = F.array_join(F.transform(F.split(line, " "), lambda w: F.when(w.rlike("^[ilo]*[0-9][0-9ilo]*$"), F.translate(w, "ilo", "110")).otherwise(w)), " ")
+    # few lines hold such a word, so few are taken apart
+    return F.when(line.rlike("(?:^| )(?:[0-9]+[ilo]|[ilo]+[0-9])[0-9ilo]*(?: |$)"), mended).otherwise(line)
 
 
 def numbers_of(norm: Column) -> Column:
@@ -115,8 +117,10 @@ def numbers_of(norm: Column) -> Column:
 
 
 def digits_of(norm: Column) -> Column:
-    """All digits of a compared line."""
-    return F.array_join(numbers_of(norm), "")
+    """All digits of a compared line. One without a lone look-alike letter is not taken apart."""
+    found = F.translate(norm, "abcdefghijklmnopqrstuvwxyz ", "")
+    apart = norm.rlike("(?:^| )[ilo](?: |$)") | (F.translate(found, "0123456789", "") != "")
+    return F.when(apart, F.array_join(numbers_of(norm), "")).otherwise(found)
 
 
 def digits_agree(x: Column, y: Column) -> Column:

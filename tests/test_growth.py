@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from emberlog.functions import tables
+from emberlog.functions import tables, text as T
 from emberlog.operators import encounters as E, frames, replay, resolve, session
 from emberlog.operators.parse import parse
 
@@ -125,3 +127,35 @@ def test_words_are_compared_a_tile_at_a_time(spark, monkeypatch):
     out = resolve.spelling_pairs(spark.createDataFrame([("Marrowa",), ("marrowb",), ("Marrowb",)], "name string"))
     assert sorted(map(tuple, out.collect())) == [("Marrowa", "Marrowb", 1), ("Marrowa", "marrowb", 1), ("Marrowb", "marrowb", 0)]
     assert "FlatMapGroupsInArrow" in plan(out)
+
+
+def test_matching_blocks_are_those_of_difflib(monkeypatch):
+    rng, calls = random.Random(2), []
+    whole = difflib.SequenceMatcher
+    for _ in range(5000):
+        letters = rng.choice(["ab", "abc", "abcdefgh "])
+        a = "".join(rng.choices(letters, k=rng.randrange(20)))
+        at = rng.randrange(len(a) + 1)
+        b = a[:at] + "".join(rng.choices(letters, k=rng.randrange(4))) + a[at + rng.randrange(4):]
+        assert frames.ratio(a, b) == (1.0 if a == b else whole(None, a, b, autojunk=False).ratio())
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *x, **y: calls.append(x) or whole(*x, **y))
+    line = "pabcd crushes a wolf for 123456 points of damage"
+    assert frames.ratio(line, line[:-6]) > 0.9 and frames.ratio(line, line.replace("mag", "maq")) > 0.9
+    assert all(len(x[1]) < 5 for x in calls)
+
+
+def test_lines_are_compared_without_taking_all_of_them_apart(spark):
+    def words(text):
+        line = re.sub("[^0-9a-z]+", " ", re.sub("['’‘`]", "", text.lower())).strip(" ")
+        return " ".join(w.translate(str.maketrans("ilo", "110")) if re.search("^[ilo]*[0-9][0-9ilo]*$", w) else w for w in line.split(" "))
+
+    def digits(norm):
+        return "".join({"i": "1", "l": "1", "o": "0"}.get(w) or re.sub("[^0-9]", "", w) for w in norm.split(" "))
+
+    rng = random.Random(3)
+    texts = ["", " ", "I", "l0 O", "5l", "a1b i", "Pa's 1O", "il", *("".join(rng.choices("ilo05aB '.", k=rng.randrange(14))) for _ in range(600))]
+    out = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").select("text", T.compared(F.col("text")).alias("norm")).select("*", T.digits_of(F.col("norm")).alias("d")).collect()
+    assert all((r.norm, r.d) == (words(r.text), digits(words(r.text))) if r.text is not None else (r.norm, r.d) == (None, None) for r in out)
+    rows = [("s", 1, 0.0, 1, 20 * i, 16, t) for i, t in enumerate([None, "", "a", "..", "a\n.b", "ab", "- 1 -2"])]
+    seen = frames.visual_rows(spark.createDataFrame(rows, "stream_id string, frame long, t double, x int, y int, h int, text string")).collect()
+    assert sorted(r.norm for r in seen) in (["1 2", "a b", "ab"], [])
