@@ -40,10 +40,10 @@ def _begins() -> str:
     verb = "(?:" + "|".join(sorted(verbs)) + r")\b"
     heads_ = "|".join(sorted(heads))
     owner = r"[A-Z][\w'-]*'s [A-Z]"
-    beast = rf"(?:an?|the)(?: [A-Za-z-]+){{1,4}}?(?: {verb}|'s [A-Z])"
+    beast = rf"(?:an?|the)(?: [\p{{Alpha}}-]+){{1,4}}?(?: {verb}|'s [A-Z])"
     sure = rf"Your?\b|YOU takes?\b|--(?=[A-Z])|(?:{heads_})\b|{owner}|{beast}"
     # a name before a verb, but no word of an ability's name behind its owner
-    word = "[A-Z][A-Za-z']{0,19} "
+    word = r"[A-Z][\p{Alpha}']{0,19} "
     free = "".join(rf"(?<!(?:'s|s'|Your) {word * n})" for n in range(4))
     name = rf"{free}[A-Z][\w'-]* {verb}"
     return rf"(?<=\S) (?={sure}|{name})"

@@ -36,7 +36,7 @@ def repaired(line: Column) -> Column:
     s = F.trim(F.regexp_replace(F.translate(line, "‘’´`“”^", "''''\"\" "), r"\s+", " "))
     unit, glyph = r"(?:points?|Health)\b", r"[\dIlO|]"
     steps = [
-        (r"^\[\w{3} \w{3} \d+ [\d:]+ \d{4}\] ?|^[^A-Za-z(\[\d]+| ?--$", ""),
+        (r"^\[\w{3} \w{3} \d+ [\d:]+ \d{4}\] ?|^[^\p{Alnum}(\[]+| ?--$", ""),
         (r"(?<=[a-z])(?<!\(x)(?=\d)|(?<=\d)(?=[A-Za-z])|(?<=[A-Za-z])-(?=(?:try|tries|hits|for|heals)\b)| -(?=\d)", " "),
         (r" {2,}", " "),
         (r" po[a-z]{2,5}s of ", " points of "),
@@ -53,7 +53,7 @@ def repaired(line: Column) -> Column:
 
 def completed(s: Column) -> Column:
     """A line that stops behind its number, ``points`` or ``of``, with the rest put back."""
-    tail = r"^(.* for \d+)(?: point(?:s|)(?: of|)|)[^0-9A-Za-z]*$"
+    tail = r"^(.* for \d+)(?: point(?:s|)(?: of|)|)\P{Alnum}*$"
     rest = F.when(F.contains(s, F.lit(" heals ")), " Health.").otherwise(" points of damage.")
     return F.when(F.contains(s, F.lit(" for ")) & s.rlike(tail), F.concat(F.regexp_extract(s, tail, 1), rest)).otherwise(s)
 

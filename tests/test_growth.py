@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from emberlog.functions import tables, text as T
-from emberlog.operators import encounters as E, frames, replay, resolve, session
+from emberlog.operators import encounters as E, frames, fused, messages as M, replay, resolve, session
 from emberlog.operators.parse import parse
 
 
@@ -159,3 +159,11 @@ def test_lines_are_compared_without_taking_all_of_them_apart(spark):
     rows = [("s", 1, 0.0, 1, 20 * i, 16, t) for i, t in enumerate([None, "", "a", "..", "a\n.b", "ab", "- 1 -2"])]
     seen = frames.visual_rows(spark.createDataFrame(rows, "stream_id string, frame long, t double, x int, y int, h int, text string")).collect()
     assert sorted(r.norm for r in seen) in (["1 2", "a b", "ab"], [])
+
+
+def test_no_class_of_a_pattern_has_three_ranges():
+    patterns = [fused.BEGINS, *(M.pattern_of(f, loose)[0] for f, loose in M.ordered())]
+    for inner in {c for p in patterns for c in re.findall(r"(?<!\\)\[((?:\\.|[^\]\\])+)\]", p)}:
+        ranges = re.findall(r"\w-\w|\\[wd]|\\p\{\w+\}", inner)
+        rest = re.sub(r"\w-\w|\\[wdp](?:\{\w+\})?|^\^", "", inner)
+        assert len(ranges) + bool(rest) <= 2, inner
