@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.tables import settled, spread
 from emberlog.operators import messages as M
 from emberlog.operators.parse import parse
 
@@ -101,8 +102,21 @@ def parse_fused(lines: DataFrame, player: str = "You") -> DataFrame:
 
     A line that reads as one message stays whole, chat too whatever it quotes. A stretch that cannot be read stays by itself as an unknown event if it has
     four words or more, does not end in a possessive and a sure beginning follows it; a rest that cannot be read always does. Null and
-    empty texts are one unknown event. One parser, no shuffle: the stretches of a line are made, read and chosen in one task.
+    empty texts are one unknown event.
+
+    Lines of a log repeat, and what a line holds follows from its text alone, so each different text is read once and joined to its lines; a stream's lines are read one by one.
     """
+    if lines.isStreaming:
+        return _read(lines, player)
+    told = lines.select("stream_id", "seq", "ts", F.col("text").alias("_line"))
+    texts = spread(settled(told.select("_line").distinct()))
+    read = _read(texts.select(F.col("_line").alias("stream_id"), F.lit(0).alias("seq"), F.lit(0.0).alias("ts"), F.col("_line").alias("text")), player)
+    read = read.withColumnRenamed("stream_id", "_read").drop("seq", "ts")
+    return told.join(read.hint("merge"), F.col("_line").eqNullSafe(F.col("_read"))).drop("_line", "_read")
+
+
+def _read(lines: DataFrame, player: str) -> DataFrame:
+    """``parse_fused`` of every line. One parser, no shuffle: the stretches of a line are made, read and chosen in one task."""
     cut = atoms(F.col("text"))
     a = lines.select("stream_id", "seq", "ts", F.when(F.size(cut) > 1, cut).otherwise(F.array("text")).alias("a"))
     n = F.size("a")

@@ -236,3 +236,16 @@ def test_streamed_frames_equal_the_batch_form(spark, framed, tmp_path):
 @pytest.mark.parametrize("name", ["fused_lines", "find_replays", "file_union", "frame_messages"])
 def test_queries_are_registered_with_sql(name):
     assert name in plans.QUERIES and name in plans.SQL
+
+
+def test_a_line_that_repeats_is_read_once(spark, monkeypatch):
+    texts = ["Unknown riddle: attack target You crush a rat for 5 points of damage.", None, "", "Pa crushes a rat for 5 points of damage."]
+    rows = [("s" if i % 2 else "t", i, i * 1.0, texts[i % 4]) for i in range(40)]
+    one, seen = fused.parse, []
+    monkeypatch.setattr(fused, "parse", lambda df, player: seen.append(df) or one(df, player))
+    out = fused.parse_fused(spark.createDataFrame(rows, LINES))
+    got = sorted((r.seq, r.stream_id, r.ts, r.part, r.kind) for r in out.collect())
+    kinds = [["unknown", "melee_hit"], ["unknown"], ["unknown"], ["melee_hit"]]
+    assert got == [(i, s, ts, p, kind) for s, i, ts, _ in sorted(rows, key=lambda r: r[1]) for p, kind in enumerate(kinds[i % 4])]
+    assert seen[0].count() == 6  # two atoms make three stretches
+    assert out.columns[:5] == ["stream_id", "seq", "ts", "kind", "text"] and out.columns[-1] == "part"
